@@ -16,7 +16,21 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(docs, TokenStore.write(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import best_fit_pack
+
+    return best_fit_pack(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import plan
+
+    return plan(table(spark, sf_dir, "documents")).per_document()
+
+
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op10_mixing": op10_mixing,
     "op3_token_store": op3_token_store,
 }
 ORACLE: dict[str, str] = {}
