@@ -28,8 +28,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(table(spark, sf_dir, "documents")).per_document()
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_url_filter": op2_url_filter,
     "op10_mixing": op10_mixing,
     "op3_token_store": op3_token_store,
 }
