@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
+#: The registered queries' key; a deployment passes its own secret.
+PII_KEY = b"registered-query-key"
+
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -34,9 +38,24 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op6_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media_png import media_features, store_media
+
+    rows = media_features(store_media(table(spark, sf_dir, "documents")))
+    return rows.withColumn("feature", F.lower(F.hex("phash"))).drop("phash")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filter": op2_url_filter,
+    "op4_pii": op4_pii,
+    "op6_media_png": op6_media_png,
     "op10_mixing": op10_mixing,
     "op3_token_store": op3_token_store,
 }
