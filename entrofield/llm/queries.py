@@ -11,6 +11,11 @@ from .common import table
 PII_KEY = b"registered-query-key"
 
 
+def remainder(doc_id, n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,11 +56,20 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    return identify(docs, *learn(docs, ~held_out)).withColumn("held_out", held_out)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filter": op2_url_filter,
     "op4_pii": op4_pii,
     "op6_media_png": op6_media_png,
+    "op8_language_id": op8_language_id,
     "op10_mixing": op10_mixing,
     "op3_token_store": op3_token_store,
 }
