@@ -64,12 +64,22 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, *learn(docs, ~held_out)).withColumn("held_out", held_out)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    scored = score(docs, learn(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return scored.withColumns({"held_out": held_out, "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filter": op2_url_filter,
     "op4_pii": op4_pii,
     "op6_media_png": op6_media_png,
     "op8_language_id": op8_language_id,
+    "op5_toxicity": op5_toxicity,
     "op10_mixing": op10_mixing,
     "op3_token_store": op3_token_store,
 }
