@@ -37,7 +37,7 @@ IDX_MAGIC = b"EFMPHIX1"
 HEAD, HEAD_BYTES = "<8sII", 16
 FOOT = "<QQ8s"
 LOCATION = "doc_id long, shard int, first long, n_tokens long"
-#: Entries of a worker's table of encoded words, about 90 MB.
+#: Entries of each of the two generations of a worker's table of encoded words, about 90 MB.
 CACHE = 400_000
 #: Between an ASCII letter and one of these marks every pre-tokenizer of the supported files cuts.
 JOINT = re.compile(rb"([a-z])([.,;:!?|$%&*#])")
@@ -58,18 +58,35 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def learn(self, words: Iterable[bytes]) -> None:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        for w, e in zip(new, self.batch([w.decode() for w in new], add_special_tokens=False)):
+        """Encodes unknown words. Words of letters alone are one pre-token each and go to the library joined by blanks, 1000 at a time."""
+        if len(self.known) > CACHE:  # two generations: frequent words come back from the older one
+            self.known, self.older = {}, self.known
+        plain, others = [], []
+        for w in dict.fromkeys(words):
+            if w not in self.known:
+                if w in self.older:
+                    self.known[w] = self.older[w]
+                else:
+                    (plain if (t := w.decode("utf-8", "surrogatepass")).isalpha() else others).append((w, t))
+        for i in range(0, len(plain), 1000):
+            part = plain[i : i + 1000]
+            e = self.tok.encode(" ".join(t for _, t in part), add_special_tokens=False)
+            ends = (np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)).cumsum() * self.dtype.itemsize).tolist()
+            if len(ends) != len(part):
+                others += part
+                continue
+            data, at = np.array(e.ids, self.dtype).tobytes(), 0
+            for (w, _), end in zip(part, ends):
+                self.known[w], at = data[at:end], end
+        for (w, _), e in zip(others, self.tok.encode_batch([t for _, t in others], add_special_tokens=False)):
             self.known[w] = np.array(e.ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
