@@ -73,6 +73,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({"held_out": held_out, "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filter": op2_url_filter,
@@ -80,7 +86,23 @@ QUERIES = {
     "op6_media_png": op6_media_png,
     "op8_language_id": op8_language_id,
     "op5_toxicity": op5_toxicity,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_mixing": op10_mixing,
     "op3_token_store": op3_token_store,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_jaccard_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, shingle FROM (
+                SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w)
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+        r AS (SELECT doc_id AS id, doc_id AS seen FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, x.component_id
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(seen) AS component_id FROM r GROUP BY id) x ON x.id = d.doc_id
+    """,
+}
