@@ -79,7 +79,20 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprint_report
+
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filter": op2_url_filter,
     "op4_pii": op4_pii,
@@ -87,6 +100,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op5_toxicity": op5_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
+    "op7_fingerprints": op7_fingerprints,
     "op10_mixing": op10_mixing,
     "op3_token_store": op3_token_store,
 }
