@@ -1,4 +1,6 @@
-"""Collects the queries and oracle SQL of all reference operators."""
+"""All registered queries and oracles of the reference operators."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import fields, functions, meshes, models, trees  # noqa: F401
+from .common import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
