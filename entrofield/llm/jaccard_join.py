@@ -9,8 +9,8 @@ Two documents link when their shingle sets have Jaccard similarity of at least 3
 3. Stars. In each list the most central set of a size range (whose prefix has the highest counts) is the hub; the others are compared with it only. A pair must share
    so many prefix shingles that the overlap 3/7 (n + m) can still be reached (the shingles outside the shorter prefix are all that can come on top).
 4. Verification on whole sets, then components by minimum labels with pointer jumping.
-5. Rest. Only pairs in a list that are still in different components are left: the members outside a list's largest component are compared with all others of the list. They
-   are filtered and verified the same way. So a list of many near copies costs its length, not its square, and no link between components is lost.
+5. Rest. Only pairs in a list that are still in different components are left: the members outside a list's largest component are compared with all others of the list, where
+   the shingle is among the first n - ceil(6n/7) + 1 of the smaller set (which suffice against larger sets). They are filtered and verified the same way. So a list of many near copies costs its length, not its square, and no link between components is lost.
 
 Null and empty texts, and texts of blanks, have an empty set and link with nothing. A text with fewer than five words is one shingle. Rows with a null id take
 part; a component's id is the smallest non-null id in it (null if there is none). Repeated rows give repeated results. An empty table gives no rows. Other columns are ignored.
@@ -38,13 +38,18 @@ FREQUENT = 10_000
 BROADCAST_IDS = 2_000_000
 SCAN = "doc_id long, n int, class long, chunk int, counts binary"
 BLOB = "bucket int, blob binary"
-ENTRY = "list long, grp long, n int, prio int, class long"
+ENTRY = "list long, grp long, n int, prio int, core boolean, class long"
 
 
 def prefix_length(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
 
+def core_length(n: int) -> int:
+    """Length that suffices against sets of at least the same size: there the overlap is at least 6n/7."""
+    return n - (6 * n + 6) // 7 + 1
+
+
 # ---------------------------------------------------------------- scan
 
 
@@ -85,16 +90,16 @@ def sketch_of(scan: DataFrame) -> np.ndarray:
 # ---------------------------------------------------------------- prefixes
 
 
-def pack(direct: bool, groups: np.ndarray, sizes: np.ndarray, prios: np.ndarray, token: np.ndarray, owner: np.ndarray, member_group: np.ndarray, member_class: np.ndarray) -> bytes:
+def pack(direct: bool, groups: np.ndarray, sizes: np.ndarray, prios: np.ndarray, token: np.ndarray, owner: np.ndarray, core: np.ndarray, member_group: np.ndarray, member_class: np.ndarray) -> bytes:
     wide = len(groups) > 1 << 16
     head = struct.pack("<??xxIII", direct, wide, len(groups), len(token), len(member_group))
-    return b"".join([head, groups.astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), prios.astype("<u2").tobytes(), token.astype("<u4").tobytes(), owner.astype("<u4" if wide else "<u2").tobytes(), member_group.astype("<i8").tobytes(), member_class.astype("<i8").tobytes()])
+    return b"".join([head, groups.astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), prios.astype("<u2").tobytes(), token.astype("<u4").tobytes(), owner.astype("<u4" if wide else "<u2").tobytes(), core.astype("?").tobytes(), member_group.astype("<i8").tobytes(), member_class.astype("<i8").tobytes()])
 
 
 def unpack(blob: bytes) -> tuple:
     direct, wide, g, p, m = struct.unpack_from("<??xxIII", blob)
     at, out = 16, []
-    for kind, n in (("<i8", g), ("<i4", g), ("<u2", g), ("<u4", p), ("<u4" if wide else "<u2", p), ("<i8", m), ("<i8", m)):
+    for kind, n in (("<i8", g), ("<i4", g), ("<u2", g), ("<u4", p), ("<u4" if wide else "<u2", p), ("?", p), ("<i8", m), ("<i8", m)):
         x = np.frombuffer(blob, kind, n, at)
         at += x.nbytes
         out.append(x)
@@ -115,6 +120,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], sketch, n_buckets: int) -> Iter
         size, prio = np.array([g[0] for g in groups.values()]), np.array([g[1] for g in groups.values()])
         token = np.concatenate([g[2] for g in groups.values()])
         owner = np.repeat(np.arange(len(ids)), [len(g[2]) for g in groups.values()])
+        core = np.concatenate([np.arange(len(g[2])) < core_length(g[0]) for g in groups.values()])
         frequent = counts[(token & np.uint64(SKETCH - 1)).astype(np.int64)] > level
         bucket = ((token >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
         mg, mc = np.array([g for g, _ in members], np.int64), np.array([c for _, c in members], np.int64)
@@ -138,9 +144,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], sketch, n_buckets: int) -> Iter
                         for b in np.unique(bucket[part]):
                             sub = bucket[part] == b
                             u2, o2 = np.unique(own[sub], return_inverse=True)
-                            rows.append((k, struct.pack("<i", b) + pack(True, ids[used[u2]], size[used[u2]], prio[used[u2]], low[sub], o2, mg[:0], mc[:0])))
+                            rows.append((k, struct.pack("<i", b) + pack(True, ids[used[u2]], size[used[u2]], prio[used[u2]], low[sub], o2, core[part][sub], mg[:0], mc[:0])))
                     else:
-                        rows.append((k, struct.pack("<i", k) + pack(False, ids[used], size[used], prio[used], low, own, mg[m], mc[m])))
+                        rows.append((k, struct.pack("<i", k) + pack(False, ids[used], size[used], prio[used], low, own, core[part], mg[m], mc[m])))
         groups.clear()
         members.clear()
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
@@ -153,8 +159,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], sketch, n_buckets: int) -> Iter
                 continue
             rank = counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
             first = s[np.lexsort((s, rank))[: prefix_length(n)]]
-            first.sort()
-            g, c = digest(first.tobytes(), n.to_bytes(8, "little")), digest(s.tobytes())
+            g, c = digest(np.sort(first).tobytes(), n.to_bytes(8, "little")), digest(s.tobytes())
             members.add((g, c))
             if g not in groups:
                 central = np.log2(1.0 + counts[(first & np.uint64(SKETCH - 1)).astype(np.int64)]).mean()
@@ -168,24 +173,24 @@ def _prefixes(batches: Iterator[pa.RecordBatch], sketch, n_buckets: int) -> Iter
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of lists with more than one group, and (group, class) members, of one bucket after another."""
-    names, kinds = [c.split()[0] for c in ENTRY.split(", ")], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    names, kinds = [c.split()[0] for c in ENTRY.split(", ")], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
 
-    def entries(name: np.ndarray, g: np.ndarray, n: np.ndarray, prio: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(g), pa.array(n), pa.array(prio.astype(np.int32)), pa.nulls(len(g), pa.int64())], names=names)
+    def entries(name: np.ndarray, g: np.ndarray, n: np.ndarray, prio: np.ndarray, core: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(g), pa.array(n), pa.array(prio.astype(np.int32)), pa.array(core), pa.nulls(len(g), pa.int64())], names=names)
 
     def close(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        name, g, n, prio = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        name, g, n, prio, core = (np.concatenate([p[i] for p in parts]) for i in range(5))
         order = np.lexsort((g, name))
-        name, g, n, prio = name[order], g[order], n[order], prio[order]
+        name, g, n, prio, core = name[order], g[order], n[order], prio[order], core[order]
         new = np.ones(len(name), bool)
         new[1:] = (name[1:] != name[:-1]) | (g[1:] != g[:-1])
-        name, g, n, prio = name[new], g[new], n[new], prio[new]
+        name, g, n, prio, core = name[new], g[new], n[new], prio[new], core[new]
         same = name[1:] == name[:-1]
         shared = np.zeros(len(name), bool)
         shared[1:] |= same
         shared[:-1] |= same
         if shared.any():
-            yield entries(name[shared], g[shared], n[shared], prio[shared])
+            yield entries(name[shared], g[shared], n[shared], prio[shared], core[shared])
 
     bucket, parts = None, []
     for b in batches:
@@ -195,14 +200,14 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from close(parts)
                 bucket, parts = k, []
             (high,) = struct.unpack_from("<i", blob)
-            direct, ids, size, prio, low, own, mg, mc = unpack(blob[4:])
-            part = (np.int64(high) << np.int64(32)) | low.astype(np.int64), ids[own], size[own], prio[own]
+            direct, ids, size, prio, low, own, core, mg, mc = unpack(blob[4:])
+            part = (np.int64(high) << np.int64(32)) | low.astype(np.int64), ids[own], size[own], prio[own], core
             if direct:
                 yield entries(*part)
             elif len(low):
                 parts.append(part)
             if len(mg):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(mg), kinds[0]), pa.array(mg), pa.nulls(len(mg), kinds[2]), pa.nulls(len(mg), kinds[3]), pa.array(mc)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(mg), kinds[0]), pa.array(mg), pa.nulls(len(mg), kinds[2]), pa.nulls(len(mg), kinds[3]), pa.nulls(len(mg), kinds[4]), pa.array(mc)], names=names)
     if parts:
         yield from close(parts)
 
@@ -249,10 +254,14 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return got.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
 
-def enough(n: str, m: str) -> F.Column:
-    """Fewest common prefix shingles of sets of sizes n and m that can link."""
-    p = lambda c: F.expr(f"{c} - (3 * {c} + 3) div 4 + 1")
-    return F.expr(f"(3 * ({n} + {m}) + 6) div 7") - F.greatest(F.col(n) - p(n), F.col(m) - p(m))
+def enough(n: str, m: str, core: bool = False) -> F.Column:
+    """Fewest common shingles among the first ones of sets of sizes n and m that can link: the overlap needed less what can lie beyond."""
+
+    def beyond(c: str, other: str) -> F.Column:
+        short = F.lit(core) & (F.col(c) <= F.col(other))
+        return F.when(short, F.expr(f"(6 * {c} + 6) div 7 - 1")).otherwise(F.expr(f"(3 * {c} + 3) div 4 - 1"))
+
+    return F.expr(f"(3 * ({n} + {m}) + 6) div 7") - F.greatest(beyond(n, m), beyond(m, n))
 
 
 def similar_size(n: str, m: str) -> F.Column:
@@ -298,14 +307,16 @@ def cross_pairs(entries: DataFrame, comps: DataFrame) -> DataFrame:
     mixed = sizes.groupBy("list").agg(F.max(F.struct("k", "comp"))["comp"].alias("big"), F.count("*").alias("kinds")).where("kinds > 1")
     e = e.join(mixed.select("list", "big"), "list")
     x, y = e.where("comp <> big").alias("x"), e.alias("y")
-    pairs = x.join(y, F.col("x.list") == F.col("y.list")).where("x.comp <> y.comp and (y.comp = y.big or x.class < y.class) and (x.grp <> y.grp or x.weight > 1)").where(similar_size("x.n", "y.n"))
+    pairs = x.join(y, F.col("x.list") == F.col("y.list")).where("x.comp <> y.comp and (y.comp = y.big or x.class < y.class) and (x.grp <> y.grp or x.weight > 1)")
+    # a pair shares a shingle of the smaller set's core and the larger one's prefix, of both cores if they are equal in size
+    pairs = pairs.where(similar_size("x.n", "y.n") & F.expr("(x.core or x.n > y.n) and (y.core or y.n > x.n)"))
     first = F.col("x.class") < F.col("y.class")
     return pairs.select(*[F.when(first, F.col(p)).otherwise(F.col(q)).alias(k) for k, p, q in (("a", "x.class", "y.class"), ("b", "y.class", "x.class"), ("n", "x.n", "y.n"), ("m", "y.n", "x.n"))], F.col("x.weight").alias("weight"))
 
 
-def likely(pairs: DataFrame) -> DataFrame:
-    """Pairs with enough common prefix shingles."""
-    return pairs.groupBy("a", "b", "n", "m").agg(F.sum("weight").alias("common")).where(similar_size("n", "m") & (F.col("common") >= enough("n", "m"))).select("a", "b")
+def likely(pairs: DataFrame, core: bool = False) -> DataFrame:
+    """Pairs with enough common prefix shingles; with core, those were counted in the smaller set's core only."""
+    return pairs.groupBy("a", "b", "n", "m").agg(F.sum("weight").alias("common")).where(similar_size("n", "m") & (F.col("common") >= enough("n", "m", core))).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -322,19 +333,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     blobs = docs.select("text").mapInArrow(lambda it: _prefixes(it, sketch, n_buckets), BLOB)
     found = stored(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, ENTRY), f"{root}/lists")
     members = found.where("class is not null").select("grp", "class").distinct()
-    listed = found.where("class is null").select("list", "grp", "n", "prio").distinct()
+    listed = found.where("class is null").select("list", "grp", "n", "prio", "core").distinct()
     shared = listed.join(members, "grp").withColumn("weight", F.lit(1))
     # groups of several classes are lists too; their members share the whole prefix
     crowds = members.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
     size = rows.where("n > 0").groupBy("class").agg(F.max("n").alias("n"))
-    inner = members.join(crowds, "grp").join(size, "class").select(F.xxhash64("grp", F.lit("group")).alias("list"), "grp", "n", F.lit(0).alias("prio"), "class", F.greatest(F.lit(2), F.expr("n - (3 * n + 3) div 4 + 1")).alias("weight"))
+    inner = members.join(crowds, "grp").join(size, "class").select(F.xxhash64("grp", F.lit("group")).alias("list"), "grp", "n", F.lit(0).alias("prio"), F.lit(True).alias("core"), "class", F.greatest(F.lit(2), F.expr("n - (3 * n + 3) div 4 + 1")).alias("weight"))
     entries = stored(shared.select(inner.columns).unionByName(inner), f"{root}/entries")
     reps = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
 
     tried = stored(likely(star_pairs(entries)), f"{root}/stars")
     edges = stored(verify(tried, docs, reps), f"{root}/star-links")
     comps = components(spark, edges, f"{root}/first")
-    rest = stored(likely(cross_pairs(entries, comps)).join(tried, ["a", "b"], "left_anti"), f"{root}/rest")
+    rest = stored(likely(cross_pairs(entries, comps), core=True).join(tried, ["a", "b"], "left_anti"), f"{root}/rest")
     more = stored(verify(rest, docs, reps), f"{root}/rest-links")
     if more.limit(1).count():
         comps = components(spark, edges.unionByName(more), f"{root}/second")
