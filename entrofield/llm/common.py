@@ -36,6 +36,12 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_whole(df: DataFrame, f) -> DataFrame:
+    """df.mapInArrow over all columns with the same schema, whatever the columns' names."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(f, plain.schema).toDF(*df.columns)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """pyarrow's filesystem for a URI, so that Python workers reach the same shared store as Spark."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

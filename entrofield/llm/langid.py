@@ -79,7 +79,7 @@ class Models:
         p1 = (c1 + 0.5) / (c1.sum(1, keepdims=True) + 0.5 * CODES)
         p2 = (c2 + BETA * p1[:, None, :]) / (c2.sum(2, keepdims=True) + BETA)
         p3 = (c3 + BETA * p2[:, None, :, :]) / (c3.sum(3, keepdims=True) + BETA)
-        self.logp = np.log(p3).reshape(len(langs), -1).astype(np.float32)
+        self.logp = np.log(p3).reshape(len(langs), CODES**3).astype(np.float32)
         self.memo: dict[str, int] = {}
         self.rows = np.empty((1024, len(langs)), np.float32)
 

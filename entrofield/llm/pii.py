@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_whole, slices
 
 DIGITS = "0123456789"
 #: Letters that replace one another.
@@ -280,7 +280,8 @@ def _rewrite(batches: Iterator[pa.RecordBatch], at: int, key: bytes) -> Iterator
 
 def pseudonymise(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame:
     """docs with the column's personal data replaced; all columns and rows stay."""
-    return docs.mapInArrow(lambda it, at=docs.columns.index(column): _rewrite(it, at, key), docs.schema)
+    at = docs.columns.index(column)
+    return map_whole(docs, lambda it: _rewrite(it, at, key))
 
 
 def _report(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:

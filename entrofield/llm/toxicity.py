@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_hash, slices
+from .common import key_hash, map_whole, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 WINDOW, STRIDE = 24, 12
@@ -390,4 +390,4 @@ def _reject(batches: Iterator[pa.RecordBatch], at: int, packed: bytes | None, li
 def reject(docs: DataFrame, net: Network | None, limit: float = 0.5) -> DataFrame:
     """docs without those that score limit or more."""
     packed, at = _packed(net), docs.columns.index("text")
-    return docs.mapInArrow(lambda it: _reject(it, at, packed, limit), docs.schema)
+    return map_whole(docs, lambda it: _reject(it, at, packed, limit))
