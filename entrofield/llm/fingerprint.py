@@ -5,7 +5,7 @@ Uniform(0, 1); with weight S the term's value is ln a = ln c + r (b - 1 - floor(
 floor(...) fix the value, so two documents agree in a sample with probability sum min(S, T) / sum max(S, T), the generalised Jaccard similarity of their weights; the
 likeness of two fingerprints is the share of samples that agree.
 
-Texts are shuffled once, by id; terms are counted and sampled where the text lies, and only the samples move on. To edit a text only the wanted prefix of the next
+Texts are shuffled once, by id (a second time where the table of neighbours is too large to send); terms are counted and sampled where the text lies, and only the samples move on. To edit a text only the wanted prefix of the next
 document travels.
 
 Null and empty texts, and texts of blanks, have no terms: all their samples are one mark, and two of them agree in all. Rows with a null id have no place in the
@@ -24,6 +24,8 @@ SAMPLES = 16
 #: Ids are ordered in blocks of this many consecutive numbers, and blocks in blocks of blocks, so that no task sorts all ids.
 BLOCK = 1 << 12
 BITS = 24
+#: Pairs of neighbours that are sent to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def next_ids(ids: DataFrame, levels: int = 2) -> DataFrame:
@@ -50,16 +52,24 @@ def half(text: Column) -> Column:
     return F.floor(F.length(text) / 2).cast("int")
 
 
-def edited(keyed: DataFrame) -> DataFrame:
+def wanted_prefixes(keyed: DataFrame, root: str) -> tuple[DataFrame, bool]:
+    """doc_id, before, half of every pair of neighbours: how many code points doc_id must hand to the document before it. Ids and lengths only; also whether it is small."""
+    lengths = keyed.groupBy("doc_id").agg(F.max(half(F.col("text"))).alias("half"))
+    order = next_ids(lengths.select("doc_id"))
+    pairs = stored(lengths.join(order, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), "half"), f"{root}/order")
+    return pairs, pairs.count() <= BROADCAST_ROWS
+
+
+def edited(keyed: DataFrame, root: str) -> DataFrame:
     """doc_id, uid, next_id, text, edited_text: the last half of the code points replaced by the first as many of the next document.
 
-    keyed: doc_id (not null), uid (unique), text. Both joins use the same exchange of the texts.
+    keyed: doc_id (not null), uid (unique), text. The prefixes are cut where the texts are read, if the table of what is wanted is small enough to be sent there, else after the exchange of
+    the texts that the second join uses too.
     """
-    lengths = keyed.groupBy("doc_id").agg(F.max(half(F.col("text"))).alias("half"))
-    order = next_ids(lengths.select("doc_id"))
-    wanted = lengths.join(order, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), "half")
-    parts = keyed.join(wanted, "doc_id").groupBy("before", F.col("doc_id").alias("next_id")).agg(F.min_by(F.expr("substring(text, 1, half)"), F.col("uid")).alias("part"))
-    return keyed.join(parts.withColumnRenamed("before", "doc_id"), "doc_id", "left").select("doc_id", "uid", "next_id", "text", edit(F.col("text"), F.col("part")).alias("edited_text"))
+    wanted, small = wanted_prefixes(keyed, root)
+    parts = keyed.join(F.broadcast(wanted) if small else wanted, "doc_id").select(F.col("before").alias("doc_id"), F.col("doc_id").alias("next_id"), "uid", F.expr("substring(text, 1, half)").alias("part"))
+    first = parts.groupBy("doc_id", "next_id").agg(F.min_by("part", "uid").alias("part"))
+    return keyed.join(first, "doc_id", "left").select("doc_id", "uid", "next_id", "text", edit(F.col("text"), F.col("part")).alias("edited_text"))
 
 
 def edit(text: Column, part: Column) -> Column:
@@ -81,12 +91,19 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
 
 
 def signatures(rows: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """doc_id, uid, own, other: samples of text and edited_text; null where a text has no words. rows must be dealt by doc_id or uid, so that nothing is shuffled here."""
-    both = rows.select("doc_id", "uid", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited_text").alias("text")))).alias("v"))
-    words = both.select("doc_id", "uid", "v.kind", F.explode(F.split(F.lower("v.text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    terms = words.select("doc_id", "uid", "kind", F.xxhash64("word").alias("term")).groupBy("doc_id", "uid", "kind", "term").agg(F.log(F.count("*").cast("double")).alias("w"))
-    least = terms.groupBy("doc_id", "uid", "kind").agg(*[F.min(sample(F.col("term"), F.col("w"), k)).alias(f"s{k}") for k in range(samples)])
-    return least.select("doc_id", "uid", "kind", F.array(*[F.xxhash64(f"s{k}") for k in range(samples)]).alias("samples"))
+    """doc_id, uid, kind, note, samples: kind 0 of text, 1 of edited_text (none where a text has no words), 2 the row's facts in note: next id, length, digest.
+
+    rows must be dealt by doc_id or uid, so that nothing is shuffled here. The facts go through the same aggregation, so that texts are read once.
+    """
+    none = F.lit(None).cast("string")
+    note = F.concat_ws(" ", F.coalesce(F.col("next_id").cast("string"), F.lit("-")), F.length("text").cast("string"), F.sha2(F.col("edited_text").cast("binary"), 256))
+    kinds = [F.struct(F.lit(k).alias("kind"), t.alias("text"), n.alias("note")) for k, (t, n) in enumerate(((F.col("text"), none), (F.col("edited_text"), none), (F.lit("-"), note)))]
+    each = rows.select("doc_id", "uid", F.explode(F.array(*kinds)).alias("v"))
+    words = each.select("doc_id", "uid", "v.kind", "v.note", F.explode(F.split(F.lower("v.text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    keys = ["doc_id", "uid", "kind", "note"]
+    terms = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.log(F.count("*").cast("double")).alias("w"))
+    least = terms.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col("w"), k)).alias(f"s{k}") for k in range(samples)])
+    return least.select(*keys, F.array(*[F.xxhash64(f"s{k}") for k in range(samples)]).alias("samples"))
 
 
 def likeness(x: Column, y: Column) -> Column:
@@ -102,12 +119,12 @@ def fingerprint_report(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     root = shared_dir(docs.sparkSession, "fingerprints")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = edited(rows.where("doc_id is not null").withColumn("uid", F.monotonically_increasing_id()))
+    keyed = edited(rows.where("doc_id is not null").withColumn("uid", F.monotonically_increasing_id()), root)
     loose = rows.where("doc_id is null").withColumn("uid", -1 - F.monotonically_increasing_id()).repartition("uid")
     loose = loose.select("doc_id", "uid", F.lit(None).cast("long").alias("next_id"), "text", edit(F.col("text"), F.lit("")).alias("edited_text"))
-    facts = [r.select("doc_id", "uid", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256")) for r in (keyed, loose)]
     found = stored(signatures(keyed, samples).unionByName(signatures(loose, samples)), f"{root}/samples")
-    facts = stored(facts[0].unionByName(facts[1]), f"{root}/facts")
+    fact = F.split("note", " ")
+    facts = found.where("kind = 2").select("doc_id", "uid", F.expr("try_cast(split(note, ' ')[0] as bigint)").alias("next_id"), fact[1].cast("long").alias("n_chars"), fact[2].alias("edited_sha256"))
     mark = F.array_repeat(F.xxhash64(F.lit("no words")), samples)
     own = found.where("kind = 0").select("uid", F.col("samples").alias("own"))
     other = found.where("kind = 1").select("uid", F.col("samples").alias("other"))
