@@ -40,7 +40,7 @@ def entropy_of(n: str | Column = "n", n_bins: int | None = None) -> Column:
     n = F.col(n) if isinstance(n, str) else n
     total = F.sum(n)
     h = F.log2(total) - F.sum(F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(0.0)) / total
-    h = F.greatest(h, F.lit(0.0))
+    h = F.when(h < 0, F.lit(0.0)).otherwise(h)  # rounding; no rows give null
     if n_bins is None:
         return h
     return h / math.log2(n_bins) if n_bins > 1 else F.lit(0.0) * total

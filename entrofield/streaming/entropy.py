@@ -13,7 +13,8 @@ from ..operators.entropy import entropy_of
 def windowed_entropy(rows: DataFrame, n_bins: int, lo: float, hi: float, every: str = "1 day", late: str = "1 hour", time: str = "ts", block: str = "block_id", value: str = "value") -> DataFrame:
     """window_start, block, entropy: counts per (window, block, bin), then their entropy, both with state bounded by the watermark. Works on streams (append mode) and on tables."""
     binned = rows.withColumn("bin", equal_width(F.col(value), lo, hi, n_bins)).where("bin is not null")
-    binned = binned.withWatermark(time, late) if rows.isStreaming else binned
+    if rows.isStreaming:  # watermarks need an instant
+        binned = binned.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     hist = binned.groupBy(F.window(time, every).alias("w"), block, "bin").agg(F.count("*").alias("n"))
     return hist.groupBy("w", block).agg(entropy_of("n").alias("entropy"), F.sum("n").alias("n")).select(F.col("w.start").alias("window_start"), block, "n", "entropy")
 
