@@ -105,7 +105,7 @@ def io5(spark, d):
     return back.groupBy("block_id").agg(F.count("*").alias("n"), F.sum(F.col("is_ghost").cast("int")).alias("ghosts"))
 
 
-@query("io15_io16_step_tables", "SELECT CAST(day(ts) - 1 AS INTEGER) AS time_step, count(*) AS n, round(sum(least(greatest(value, 0.0), 400.0)), 3) AS total FROM events GROUP BY 1")
+@query("io15_io16_step_tables", "SELECT CAST(day(ts) - 1 AS INTEGER) AS time_step, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1")
 def io16(spark, d):
     from ..operators.randomfield import Session
     from .fields import random_field
