@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .url_filter import oracle_sql
 
 #: The registered queries' key; a deployment passes its own secret.
 PII_KEY = b"registered-query-key"
@@ -105,6 +106,7 @@ QUERIES = {
     "op3_token_store": op3_token_store,
 }
 ORACLE: dict[str, str] = {
+    "op2_url_filter": oracle_sql(),
     "op9_jaccard_join": """
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
