@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, stored
 
-SAMPLES = 16
+SAMPLES = 24
 #: Ids are ordered in blocks of this many consecutive numbers, and blocks in blocks of blocks, so that no task sorts all ids.
 BLOCK = 1 << 12
 BITS = 24
