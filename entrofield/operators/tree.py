@@ -52,24 +52,39 @@ def boxes(spark: SparkSession, rows: Sequence[tuple[int, Box]]) -> DataFrame:
     return spark.createDataFrame([(k, *b[0], *b[1]) for k, b in rows], "key int, lx int, ly int, lz int, hx int, hy int, hz int")
 
 
-def box_histograms(bins: DataFrame, spark: SparkSession, rows: Sequence[tuple[int, Box]]) -> DataFrame:
-    """key, bin, n of closed boxes. The boxes of a level are few; a cell looks for those that hold it in one array constant."""
-    b = F.broadcast(boxes(spark, rows))
+def in_boxes(bins: DataFrame, spark: SparkSession, rows: Sequence[tuple[int, Box]]) -> DataFrame:
+    """Cells with the key of each closed box that holds them. The open boxes of a level are few and are sent to the cells."""
     inside = F.lit(True)
     for c in "xyz":
         inside &= F.col(c).between(F.col(f"l{c}"), F.col(f"h{c}"))
-    return bins.join(b, inside).groupBy("key", "bin").agg(F.count("*").alias("n"))
+    return bins.join(F.broadcast(boxes(spark, rows)), inside)
+
+
+def box_histograms(bins: DataFrame, spark: SparkSession, rows: Sequence[tuple[int, Box]]) -> DataFrame:
+    """key, bin, n of closed boxes."""
+    return in_boxes(bins, spark, rows).groupBy("key", "bin").agg(F.count("*").alias("n"))
+
+
+def slice_histograms(bins: DataFrame, spark: SparkSession, nodes: Sequence[tuple[int, Box]], parts: Sequence[tuple[int, int, int, int, int]]) -> DataFrame:
+    """key, bin, n of parts (key, node, axis, lo, hi) that cut a node along one axis.
+
+    Cells are counted once per axis into (node, axis, coordinate, bin) profiles; the many trial parts then only add up profile rows.
+    """
+    axes = sorted({p[2] for p in parts})
+    each = in_boxes(bins, spark, nodes).withColumnRenamed("key", "node").withColumn("t", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col("xyz"[a]).alias("c")) for a in axes])))
+    profile = each.groupBy("node", "t.axis", "t.c", "bin").agg(F.count("*").alias("n"))
+    trial = F.broadcast(spark.createDataFrame(list(parts), "key int, node int, axis int, lo int, hi int"))
+    return profile.join(trial, ["node", "axis"]).where(F.col("c").between(F.col("lo"), F.col("hi"))).groupBy("key", "bin").agg(F.sum("n").alias("n"))
 
 
-def box_entropies(bins: DataFrame, spark: SparkSession, rows: Sequence[tuple[int, Box]], normalize: int | None = None) -> dict[int, tuple[float, int]]:
-    """Entropy and number of cells of each box."""
-    hist = box_histograms(bins, spark, rows).groupBy("key").agg(entropy_of("n", normalize).alias("h"), F.sum("n").alias("n"))
-    return {r["key"]: (r["h"], r["n"]) for r in hist.collect()}
+def entropies(hist: DataFrame, normalize: int | None = None) -> dict[int, tuple[float, int]]:
+    """Entropy and number of cells of each key."""
+    out = hist.groupBy("key").agg(entropy_of("n", normalize).alias("h"), F.sum("n").alias("n"))
+    return {r["key"]: (r["h"], r["n"]) for r in out.collect()}
 
 
-def box_distances(bins: DataFrame, spark: SparkSession, rows: Sequence[tuple[int, Box]], n_bins: int) -> dict[int, float]:
-    """L1 distance of each box's normalised histogram from the uniform one."""
-    hist = box_histograms(bins, spark, rows)
+def distances(hist: DataFrame, n_bins: int) -> dict[int, float]:
+    """L1 distance of each key's normalised histogram from the uniform one."""
     total = hist.groupBy("key").agg(F.sum("n").alias("t"), F.count("*").alias("kinds"))
     d = F.sum(F.abs(F.col("n") / F.col("t") - 1.0 / n_bins)) + (n_bins - F.first("kinds")) / n_bins
     return {r["key"]: r["d"] for r in hist.join(total, "key").groupBy("key").agg(d.alias("d")).collect()}
@@ -116,7 +131,7 @@ def build(bins: DataFrame, box: Box, mode: str, n_bins: int, max_level: int, min
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
     spark = bins.sparkSession
-    h, n = box_entropies(bins, spark, [(0, box)]).get(0, (0.0, 0))
+    h, n = entropies(box_histograms(bins, spark, [(0, box)])).get(0, (0.0, 0))
     nodes = [{"path": (), "level": 0, "box": box, "entropy": h, "cells": n}]
     open_ = nodes[:]
     for level in range(max_level):
@@ -134,12 +149,14 @@ def build(bins: DataFrame, box: Box, mode: str, n_bins: int, max_level: int, min
         else:
             use = axes or ((0, 1) if mode != "distance" else (0, 1, 2))
             trials = [(p, c) for p in alive for c in candidates(p["box"], use)]
-            rows = [(2 * i + k, b) for i, (_, c) in enumerate(trials) for k, b in enumerate(c[3])]
+            number = {id(p): i for i, p in enumerate(alive)}
+            parts = [(2 * i + k, number[id(p)], c[0], b[0][c[0]], b[1][c[0]]) for i, (p, c) in enumerate(trials) for k, b in enumerate(c[3])]
+            hist = slice_histograms(bins, spark, [(i, p["box"]) for i, p in enumerate(alive)], parts)
             if mode == "distance":
-                value = box_distances(bins, spark, rows, n_bins)
+                value = distances(hist, n_bins)
                 chosen = [x for p in alive if (x := _deepest(p, [(i, c) for i, (q, c) in enumerate(trials) if q is p], value))]
             else:
-                value = {k: v[0] for k, v in box_entropies(bins, spark, rows).items()}
+                value = {k: v[0] for k, v in entropies(hist).items()}
                 rule = score or (max if mode == "max_entropy" else lambda a, b: a + b)
                 for p in alive:
                     own = [(rule(value.get(2 * i, 0.0), value.get(2 * i + 1, 0.0)), -i) for i, (q, _) in enumerate(trials) if q is p]
@@ -148,7 +165,7 @@ def build(bins: DataFrame, box: Box, mode: str, n_bins: int, max_level: int, min
         flat = [(p, i, b) for p, kids in chosen for i, b in enumerate(kids)]
         if not flat:
             break
-        value = box_entropies(bins, spark, [(i, b) for i, (_, _, b) in enumerate(flat)])
+        value = entropies(box_histograms(bins, spark, [(i, b) for i, (_, _, b) in enumerate(flat)]))
         open_ = [{"path": (*p["path"], k), "level": level + 1, "box": b, "entropy": value.get(i, (0.0, 0))[0], "cells": value.get(i, (0.0, 0))[1]} for i, (p, k, b) in enumerate(flat)]
         nodes += open_
     return Tree(nodes)

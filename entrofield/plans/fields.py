@@ -172,6 +172,26 @@ def ag12(spark, d):
     return df.agg(*[(F.max(c) + 1).cast("int").alias(f"n{c}") for c in "xyz"], F.max("cell_id").alias("last"))
 
 
+@query("ag3_counts_of_range", f"SELECT bin, count(*) AS n FROM (SELECT {sql_bin('value', 40, '50.0', '250.0')} AS bin FROM events WHERE value BETWEEN 50 AND 250) GROUP BY bin")
+def ag3(spark, d):
+    return E.counts(B.with_bin(table(spark, d, "events").where(F.col("value").between(50, 250)).select("value"), 40, "value", (50.0, 250.0)))
+
+
+@query("ag5_joint_counts", f"WITH q AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), p AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) SELECT {sql_bin('l_quantity', 12, 'q.lo', 'q.hi')} AS b1, {sql_bin('l_extendedprice', 12, 'p.lo', 'p.hi')} AS b2, count(*) AS n FROM lineitem, p, q GROUP BY 1, 2")
+def ag5(spark, d):
+    li = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice")
+    both = B.with_bin(B.with_bin(li, 12, "l_quantity", out="b1"), 12, "l_extendedprice", out="b2")
+    return E.counts(both, ["b1"], "b2")
+
+
+@query("ag10_merged_blocks", f"WITH {CELLS}, {VALUE} SELECT bin, count(*) AS n FROM b GROUP BY bin")
+def ag10(spark, d):
+    """Histograms of single blocks, merged: the same as that of the whole field."""
+    b, g = event_bins(spark, d)
+    per = E.counts(K.with_block(b, g, (2, 2, 2)), ["block_id"])
+    return E.merge_counts([per.where(F.col("block_id") % 2 == k).drop("block_id") for k in (0, 1)])
+
+
 # ---------------------------------------------------------------- entropies
 
 
