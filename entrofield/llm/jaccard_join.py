@@ -243,13 +243,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that link. Texts are read again for the classes in question only, one document of each."""
+def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, path: str) -> DataFrame:
+    """Pairs (a, b) of classes that link. Texts are read again for the classes in question only, one document of each. The sets are written once, so that both joins read plain
+    rows and Spark can split those of a frequent hub.
+    """
     need = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps, "class").select(F.col("doc_id").alias("rep"))
     if need.count() <= BROADCAST_IDS:
         need = F.broadcast(need)
     texts = docs.join(need, docs["doc_id"].eqNullSafe(need["rep"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "class long, shingles binary").dropDuplicates(["class"])
+    sets = stored(texts.mapInArrow(_sets, "class long, shingles binary").dropDuplicates(["class"]), path)
     got = pairs.join(sets.withColumnsRenamed({"class": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"class": "b", "shingles": "y"}), "b")
     return got.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
@@ -343,10 +345,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     reps = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
 
     tried = stored(likely(star_pairs(entries)), f"{root}/stars")
-    edges = stored(verify(tried, docs, reps), f"{root}/star-links")
+    edges = stored(verify(tried, docs, reps, f"{root}/star-sets"), f"{root}/star-links")
     comps = components(spark, edges, f"{root}/first")
     rest = stored(likely(cross_pairs(entries, comps), core=True).join(tried, ["a", "b"], "left_anti"), f"{root}/rest")
-    more = stored(verify(rest, docs, reps), f"{root}/rest-links")
+    more = stored(verify(rest, docs, reps, f"{root}/rest-sets"), f"{root}/rest-links")
     if more.limit(1).count():
         comps = components(spark, edges.unionByName(more), f"{root}/second")
 
