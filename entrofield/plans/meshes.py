@@ -33,13 +33,12 @@ _MESH = (
 @query("io9_mesh_text", f"WITH {_MESH} SELECT vid, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, f, (SELECT count(*) // 4 FROM cell) AS cells FROM vert")
 def io9(spark, d):
     """The mesh as text, read back; it has a fixed size."""
-    from ..sources.files import filesystem
+    from ..sources.files import filesystem, shared_dir
     from ..sources.tables import read_mesh
-    from .models import _scratch
 
     v, c = [x.orderBy(k).collect() for x, k in zip(mesh(spark, d), ("vid", "cid"))]
     lines = [f"{len(v)} {len(c)}", *[f"{r.x!r} {r.y!r} {r.z!r} {r.f!r}" for r in v], *[" ".join(map(str, r.v)) for r in c]]
-    root = _scratch(spark, "mesh")
+    root = shared_dir(spark, "mesh")
     fs, path = filesystem(root)
     fs.create_dir(path, recursive=True)
     with fs.open_output_stream(f"{path}/mesh.txt") as out:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import density, sphere
 from ..operators.grid import GridSpec
 from ..operators.resample import resample
+from ..sources.files import shared_dir
 from ..streaming.entropy import windowed_entropy
 from .common import CELLS, event_grid, query, rounded, sql_bin, table, vectors
 
@@ -88,7 +89,7 @@ def io1(spark, d):
     from ..sources.raster import read_raster, write_raster
 
     df, g = event_grid(spark, d)
-    path = _scratch(spark, "raster") + "/field.vol"
+    path = shared_dir(spark, "raster") + "/field.vol"
     write_raster(df.select("cell_id", "value"), path, g.dims)
     back = read_raster(spark, path, blocks="2,2,4")
     return back.select("cell_id", "x", "y", "z", F.round(F.col("value").cast("double"), 3).alias("value"))
@@ -99,7 +100,7 @@ def io5(spark, d):
     from ..sources.raster import read_raster, write_raster
 
     df, g = event_grid(spark, d)
-    path = _scratch(spark, "raster") + "/field.vol"
+    path = shared_dir(spark, "raster") + "/field.vol"
     write_raster(df.select("cell_id", "value"), path, g.dims, header=False, endian="big", dtype="f8")
     back = read_raster(spark, path, header="false", dims=",".join(map(str, g.dims)), endian="big", dtype="f8", blocks="2,2,1", ghost="1,2,0")
     return back.groupBy("block_id").agg(F.count("*").alias("n"), F.sum(F.col("is_ghost").cast("int")).alias("ghosts"))
@@ -110,19 +111,8 @@ def io16(spark, d):
     from ..operators.randomfield import Session
     from .fields import random_field
 
-    with Session("run 1", _scratch(spark, "session")) as s:
+    with Session("run 1", shared_dir(spark, "session")) as s:
         f = random_field(spark, d)
         s.write_data(f)
         back = s.read(spark, "data")
     return back.groupBy("time_step").agg(F.count("*").alias("n"), F.round(F.sum("data_value"), 3).alias("total"))
-
-
-def _scratch(spark, name: str) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="entrofield-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
-
-

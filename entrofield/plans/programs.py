@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.args import Args
+from ..sources.files import shared_dir
 from ..sources.raster import read_raster, strip_header, write_raster
 from . import drivers
 from .common import CELLS, event_grid, query, rounded, sql_bin, sql_entropy
 from .fields import _BLOCK, sql_local
-from .models import _scratch
 
 
 def files(spark, d) -> dict[str, str]:
     """Two scalar rasters and two vector rasters over the grid of events."""
     df, g = event_grid(spark, d)
-    root = _scratch(spark, "program")
+    root = shared_dir(spark, "program")
     out = {k: f"{root}/{k}" for k in ("a.vol", "b.vol", "u.vec", "v.vec")}
     write_raster(df.select("cell_id", F.floor("value").alias("value")), out["a.vol"], g.dims)
     write_raster(df.select("cell_id", (F.col("user_id") % 50).alias("value")), out["b.vol"], g.dims)

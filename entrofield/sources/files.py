@@ -2,8 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyarrow import fs as pafs
+from pyspark.sql import SparkSession
+
+_own: dict[str, str] = {}
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """pyarrow's file system and path of a URI; a plain path is local."""
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark resolves it to, so that Python workers reach the same store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """URI of a new folder below spark.checkpoint.dir, which driver and executors share; below a temporary one of the application where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="entrofield-")
+        base = _own[app]
+    return f"{qualified(spark, base).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
