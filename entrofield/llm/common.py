@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-#: Words are maximal runs of anything but ASCII blanks; bytes.split() cuts at exactly these six bytes.
-WORD = r"[^\x20\x09-\x0D]+"
+from ..sources.files import filesystem, shared_dir
 
+__all__ = ["filesystem", "key_hash", "map_whole", "shared_dir", "slices", "stored", "table", "word_count"]
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir, which driver and executors share; a temporary one only where the setting is absent."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="entrofield-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+#: Words are maximal runs of anything but ASCII blanks; bytes.split() cuts at exactly these six bytes.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +33,6 @@ def map_whole(df: DataFrame, f) -> DataFrame:
     return plain.mapInArrow(f, plain.schema).toDF(*df.columns)
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """pyarrow's filesystem for a URI, so that Python workers reach the same shared store as Spark."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that Python objects of few rows exist at a time."""
     for b in batches:
