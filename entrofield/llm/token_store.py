@@ -93,11 +93,11 @@ class WordEncoder:
         if "<|" in text:
             return self.whole(text)
         words = JOINT.sub(rb"\1 \2", text.encode("utf-8", "surrogatepass").lower()).split()
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            self.learn(words)
-            return b"".join([self.known[w] for w in words])
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            self.learn(w for w, x in zip(words, ids) if x is None)
+            ids = [self.known[w] if x is None else x for w, x in zip(words, ids)]
+        return b"".join(ids)
 
 
 @lru_cache(maxsize=2)
