@@ -91,9 +91,9 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
 
 
 def signatures(rows: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """doc_id, uid, kind, note, samples: kind 0 of text, 1 of edited_text (none where a text has no words), 2 the row's facts in note: next id, length, digest.
+    """doc_id, uid, own, other, note: 32-bit samples of text and edited_text (null where a text has no words), and the row's facts: next id, length, digest.
 
-    rows must be dealt by doc_id or uid, so that nothing is shuffled here. The facts go through the same aggregation, so that texts are read once.
+    rows must be dealt by doc_id or uid, so that nothing is shuffled here. The facts go through the same aggregations as a third kind of text, so that texts are read once.
     """
     none = F.lit(None).cast("string")
     note = F.concat_ws(" ", F.coalesce(F.col("next_id").cast("string"), F.lit("-")), F.length("text").cast("string"), F.sha2(F.col("edited_text").cast("binary"), 256))
@@ -103,7 +103,9 @@ def signatures(rows: DataFrame, samples: int = SAMPLES) -> DataFrame:
     keys = ["doc_id", "uid", "kind", "note"]
     terms = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.log(F.count("*").cast("double")).alias("w"))
     least = terms.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col("w"), k)).alias(f"s{k}") for k in range(samples)])
-    return least.select(*keys, F.array(*[F.xxhash64(f"s{k}") for k in range(samples)]).alias("samples"))
+    short = least.select(*keys, F.array(*[F.hash(f"s{k}") for k in range(samples)]).alias("samples"))
+    of = lambda k: F.max(F.when(F.col("kind") == k, F.col("samples")))  # noqa: E731  one row of each kind
+    return short.groupBy("doc_id", "uid").agg(of(0).alias("own"), of(1).alias("other"), F.max("note").alias("note"))
 
 
 def likeness(x: Column, y: Column) -> Column:
@@ -112,7 +114,7 @@ def likeness(x: Column, y: Column) -> Column:
 
 
 def hexed(samples: Column) -> Column:
-    return F.lower(F.array_join(F.transform(samples, lambda v: F.lpad(F.hex(v.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), ""))
+    return F.lower(F.array_join(F.transform(samples, lambda v: F.lpad(F.hex(v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), ""))
 
 
 def fingerprint_report(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -124,11 +126,9 @@ def fingerprint_report(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     loose = loose.select("doc_id", "uid", F.lit(None).cast("long").alias("next_id"), "text", edit(F.col("text"), F.lit("")).alias("edited_text"))
     found = stored(signatures(keyed, samples).unionByName(signatures(loose, samples)), f"{root}/samples")
     fact = F.split("note", " ")
-    facts = found.where("kind = 2").select("doc_id", "uid", F.expr("try_cast(split(note, ' ')[0] as bigint)").alias("next_id"), fact[1].cast("long").alias("n_chars"), fact[2].alias("edited_sha256"))
-    mark = F.array_repeat(F.xxhash64(F.lit("no words")), samples)
-    own = found.where("kind = 0").select("uid", F.col("samples").alias("own"))
-    other = found.where("kind = 1").select("uid", F.col("samples").alias("other"))
-    after = found.where("kind = 0 and doc_id is not null").groupBy(F.col("doc_id").alias("next_id")).agg(F.min_by("samples", "uid").alias("next"))
-    out = facts.join(own, "uid", "left").join(other, "uid", "left").join(after, "next_id", "left")
+    facts = found.select("doc_id", "own", "other", F.expr("try_cast(split(note, ' ')[0] as bigint)").alias("next_id"), fact[1].cast("long").alias("n_chars"), fact[2].alias("edited_sha256"))
+    mark = F.array_repeat(F.hash(F.lit("no words")), samples)
+    after = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("next_id")).agg(F.min_by("own", "uid").alias("next"))
+    out = facts.join(after, "next_id", "left")
     out = out.select("doc_id", "n_chars", "edited_sha256", *[F.coalesce(c, mark).alias(c) for c in ("own", "other", "next")])
     return out.select("doc_id", "n_chars", "edited_sha256", hexed(F.col("own")).alias("fingerprint"), hexed(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
