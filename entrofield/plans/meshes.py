@@ -1,7 +1,12 @@
-"""Queries over a tetrahedral mesh made from part of the event grid: every cube of eight cells is cut into six tetrahedra."""
+"""Queries over a tetrahedral mesh made from the event grid: every cube of eight cells is cut into six tetrahedra.
+
+The oracles' SQL speaks of the corner of SIDE cells a side, so the queries it belongs to have that corner; each has a twin over the whole grid (`..._grid`). All others take the whole grid.
+"""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..operators import tetmesh as T
@@ -13,12 +18,23 @@ SIDE = 5
 
 
 def mesh(spark, d):
+    """Vertices and cells of the whole grid; vid is the cell's id, cid counts six to the cube above its lowest corner."""
+    df, g = event_grid(spark, d)
+    return kuhn(df, g.dims)
+
+
+def corner_mesh(spark, d):
+    """The same of the corner that the SQL has."""
     df, _ = event_grid(spark, d)
-    part = df.where((F.col("x") < SIDE) & (F.col("y") < SIDE) & (F.col("z") < SIDE))
-    vid = (F.col("z") * SIDE + F.col("y")) * SIDE + F.col("x")
-    v = part.select(vid.cast("long").alias("vid"), *[F.col(c).cast("double").alias(c) for c in "xyz"], F.col("value").alias("f"))
-    low = part.where((F.col("x") < SIDE - 1) & (F.col("y") < SIDE - 1) & (F.col("z") < SIDE - 1)).select(vid.cast("long").alias("base"))
-    corner = lambda k: F.col("base") + (k & 1) + SIDE * (k >> 1 & 1) + SIDE * SIDE * (k >> 2)
+    return kuhn(df.where((F.col("x") < SIDE) & (F.col("y") < SIDE) & (F.col("z") < SIDE)), (SIDE, SIDE, SIDE))
+
+
+def kuhn(part, dims):
+    nx, ny, nz = dims
+    vid = (F.col("z").cast("long") * ny + F.col("y")) * nx + F.col("x")
+    v = part.select(vid.alias("vid"), *[F.col(c).cast("double").alias(c) for c in "xyz"], F.col("value").alias("f"))
+    low = part.where((F.col("x") < nx - 1) & (F.col("y") < ny - 1) & (F.col("z") < nz - 1)).select(vid.alias("base"))
+    corner = lambda k: F.col("base") + (k & 1) + nx * (k >> 1 & 1) + nx * ny * (k >> 2)
     tets = F.array(*[F.array(*[corner(k) for k in t]) for t in KUHN])
     c = low.select("base", F.posexplode(tets).alias("k", "v")).select((F.col("base") * 6 + F.col("k")).alias("cid"), "v")
     return v, c
@@ -31,46 +47,42 @@ _MESH = (
 
 
 @query("io9_mesh_text", f"WITH {_MESH} SELECT vid, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, f, (SELECT count(*) // 4 FROM cell) AS cells FROM vert")
-def io9(spark, d):
-    """The mesh as text, read back; it has a fixed size."""
-    from ..sources.files import filesystem, shared_dir
-    from ..sources.tables import read_mesh
-
-    v, c = [x.orderBy(k).collect() for x, k in zip(mesh(spark, d), ("vid", "cid"))]
-    lines = [f"{len(v)} {len(c)}", *[f"{r.x!r} {r.y!r} {r.z!r} {r.f!r}" for r in v], *[" ".join(map(str, r.v)) for r in c]]
-    root = shared_dir(spark, "mesh")
-    fs, path = filesystem(root)
-    fs.create_dir(path, recursive=True)
-    with fs.open_output_stream(f"{path}/mesh.txt") as out:
-        out.write("\n".join(lines).encode() + b"\n")
-    v, c = read_mesh(spark, f"{root}/mesh.txt")
+def io9(spark, d, of=corner_mesh):
+    """The mesh as text, read back. Executors write the lines in order; the driver only passes their files on."""
+    from ..sources.files import shared_dir
+    from ..sources.tables import read_mesh, write_mesh
+
+    v, c = of(spark, d)
+    path = f"{shared_dir(spark, 'mesh')}/mesh.txt"
+    write_mesh(v, c, path)
+    v, c = read_mesh(spark, path)
     return v.join(F.broadcast(c.agg(F.count("*").alias("cells"))))
 
 
 @query("t1_bounding_boxes", f"WITH {_MESH} SELECT cid, CAST(min(x) AS DOUBLE) AS lx, CAST(max(x) AS DOUBLE) AS hx, CAST(min(y) AS DOUBLE) AS ly, CAST(max(y) AS DOUBLE) AS hy, CAST(min(z) AS DOUBLE) AS lz, CAST(max(z) AS DOUBLE) AS hz FROM cell JOIN vert USING (vid) GROUP BY cid")
-def t1(spark, d):
-    return T.bounding_boxes(T.with_corners(*mesh(spark, d)))
+def t1(spark, d, of=corner_mesh):
+    return T.bounding_boxes(T.with_corners(*of(spark, d)))
 
 
 @query("t4_box_relation", f"WITH {_MESH}, bb AS (SELECT cid, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM cell JOIN vert USING (vid) GROUP BY cid) SELECT vid, cid, (lx >= x - 1.2 AND hx <= x + 1.2 AND ly >= y - 1.2 AND hy <= y + 1.2 AND lz >= z - 1.2 AND hz <= z + 1.2) AS contained FROM vert JOIN bb ON lx < x + 1.2 AND hx > x - 1.2 AND ly < y + 1.2 AND hy > y - 1.2 AND lz < z + 1.2 AND hz > z - 1.2")
-def t4(spark, d):
-    v, c = mesh(spark, d)
+def t4(spark, d, of=corner_mesh):
+    v, c = of(spark, d)
     return T.box_relation(v, T.bounding_boxes(T.with_corners(v, c)), 1.2)
 
 
 @query("t5_face_neighbours", f"WITH {_MESH}, s AS (SELECT a.cid AS cid, b.cid AS other FROM cell a JOIN cell b ON a.vid = b.vid AND a.cid <> b.cid GROUP BY ALL HAVING count(*) = 3) SELECT cid, other FROM s")
-def t5(spark, d):
-    return T.face_neighbours(mesh(spark, d)[1]).select("cid", "other")
+def t5(spark, d, of=corner_mesh):
+    return T.face_neighbours(of(spark, d)[1]).select("cid", "other")
 
 
 @query("t5_vertex_cells", f"WITH {_MESH} SELECT vid, cid FROM cell")
-def t5_vertex(spark, d):
-    return T.vertex_cells(mesh(spark, d)[1])
+def t5_vertex(spark, d, of=corner_mesh):
+    return T.vertex_cells(of(spark, d)[1])
 
 
 @query("t6_sorted_values", f"WITH {_MESH} SELECT cid, f[1] AS f0, f[2] AS f1, f[3] AS f2, f[4] AS f3 FROM (SELECT cid, list_sort(list(f)) AS f FROM cell JOIN vert USING (vid) GROUP BY cid)")
-def t6(spark, d):
-    return T.with_corners(*mesh(spark, d)).withColumn("s", T.ordered(F.col("corners"))).select("cid", *[F.col("s")[i]["f"].alias(f"f{i}") for i in range(4)])
+def t6(spark, d, of=corner_mesh):
+    return T.with_corners(*of(spark, d)).withColumn("s", T.ordered(F.col("corners"))).select("cid", *[F.col("s")[i]["f"].alias(f"f{i}") for i in range(4)])
 
 
 @query("t7_cross_sections")
@@ -80,10 +92,12 @@ def t7(spark, d):
 
 
 @query("t8_t9_volume_histogram_total", f"WITH {_MESH} SELECT round(count(DISTINCT cid) / 6.0, 6) AS total FROM cell")
-def t9(spark, d):
-    return rounded(T.global_histogram(*mesh(spark, d), 40, "volume").agg(F.sum("n").alias("total")), "total")
+def t9(spark, d, of=corner_mesh):
+    return rounded(T.global_histogram(*of(spark, d), 40, "volume").agg(F.sum("n").alias("total")), "total")
 
 
+for _name, _of_mesh in (("io9_mesh_text", io9), ("t1_bounding_boxes", t1), ("t4_box_relation", t4), ("t5_face_neighbours", t5), ("t5_vertex_cells", t5_vertex), ("t6_sorted_values", t6), ("t8_t9_volume_histogram_total", t9)):
+    query(f"{_name}_grid")(partial(_of_mesh, of=mesh))
 
 
 @query("e11_mesh_entropy_volume")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -59,6 +60,24 @@ def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return tuple(spark.read.format("tetmesh").options(path=path, part=p).load() for p in ("vertices", "cells"))
 
 
+def write_mesh(vertices: DataFrame, cells: DataFrame, path: str) -> None:
+    """The text that MeshReader reads; vid must count the vertices from 0. Lines are written by the executors as sorted parts, which the driver appends to one file a piece at a time."""
+    lines = [vertices.select(F.col("vid").alias("k"), F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyzf"]).alias("value")), cells.select(F.col("cid").alias("k"), F.array_join(F.col("v").cast("array<string>"), " ").alias("value"))]
+    parts = [f"{path}.{n}" for n in ("vertices", "cells")]
+    for df, part in zip(lines, parts):
+        df.orderBy("k").select("value").write.text(part)
+    fs, to = filesystem(path)
+    with fs.open_output_stream(to) as out:
+        out.write(f"{vertices.count()} {cells.count()}\n".encode())
+        for part in parts:
+            _, folder = filesystem(part)
+            for f in sorted((f for f in fs.get_file_info(pafs.FileSelector(folder)) if f.base_name.startswith("part-")), key=lambda f: f.base_name):
+                with fs.open_input_stream(f.path) as read:
+                    while piece := read.read(1 << 20):
+                        out.write(piece)
+            fs.delete_dir(folder)
+
+
 # ---------------------------------------------------------------- block files
 
 
