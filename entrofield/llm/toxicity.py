@@ -6,7 +6,7 @@ overlapping, of the whole text are scored; the document's score is its highest l
 
 Training: on the driver, on at most SAMPLE labelled documents taken in the order of a hash of their id (fewer if there are fewer); of each document the windows with
 the most telling words and random ones. First embedding coordinates start at the words' and trigrams' log-odds in the sample. The loss is the cross-entropy of a
-document's best window. One text and its near copies (same leading words) count once.
+document's best window. One text and its near copies (a Jaccard index of COPY over the whole texts' shingles) of a label count once.
 
 Null and empty texts are one empty window. Labels with null, and of documents that are missing, are ignored; a document with several labels counts as toxic if one
 of them says so. Without labels of both kinds every score is 0. Repeated rows get equal scores. An empty table gives no rows. Other columns are kept by
@@ -15,6 +15,7 @@ reject() and ignored by score().
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import key_hash, map_whole, slices
+from .shingles import shingles
 
 WORD = re.compile(r"[^\W\d_]+")
 WINDOW, STRIDE = 24, 12
@@ -35,6 +37,8 @@ DIM, HIDDEN, ATT = 8, 12, 8
 EPOCHS, MOST_EPOCHS, LEAST_STEPS = 4, 16, 120
 BATCH, RATE, DECAY = 64, 0.01, 0.01
 PER_DOC = 4
+#: Jaccard index of whole texts from which one is a copy of the other.
+COPY = 0.75
 #: Standard errors from which a word counts as telling at the start.
 TELLING = 2.6
 #: Weight of the calibration slope's prior.
@@ -216,14 +220,32 @@ def odds(yes: np.ndarray, no: np.ndarray, n_yes: int, n_no: int) -> np.ndarray:
 
 
 def distinct(docs: list[list[str]], y: list[int]) -> tuple[list[list[str]], np.ndarray]:
-    """One of each group of copies: those with the same leading words."""
-    seen: dict[tuple, int] = {}
-    for i, w in enumerate(docs):
-        seen.setdefault((tuple(w[:6]), y[i]), i)
-    at = sorted(seen.values())
+    """The first of each group of copies: of documents of one label whose whole texts have COPY of their shingles in common.
+
+    Such texts share one of their rarest shingles at least, so each document meets only the kept ones that do.
+    """
+    sets = [shingles(" ".join(w)) for w in docs]
+    kinds, df = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
+    by_rare: dict[tuple, list[int]] = {}
+    at = []
+    for i, s in enumerate(sets):
+        rarest = s[np.lexsort((s, df[np.searchsorted(kinds, s)]))][: len(s) - math.ceil(COPY * len(s)) + 1].tolist() or [-1]
+        met = {j for r in rarest for j in by_rare.get((r, y[i]), ())}
+        if any(_copies(s, sets[j]) for j in met):
+            continue
+        at.append(i)
+        for r in rarest:
+            by_rare.setdefault((r, y[i]), []).append(i)
     return [docs[i] for i in at], np.array([y[i] for i in at])
 
 
+def _copies(a: np.ndarray, b: np.ndarray) -> bool:
+    if min(len(a), len(b)) < COPY * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= COPY * (len(a) + len(b) - both)
+
+
 def start(docs: list[list[str]], y: np.ndarray, rng: np.random.Generator) -> tuple[Network, dict[str, float]]:
     n_yes, n_no = int(y.sum()), int((1 - y).sum())
     yes, no = Counter(), Counter()
