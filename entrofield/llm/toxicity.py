@@ -4,9 +4,9 @@ Input of a word: an embedding (words of the training sample's vocabulary; all ot
 recurrent layers read a window of WINDOW words in both directions; attention pools their states to one logit per window. All windows, STRIDE apart and so
 overlapping, of the whole text are scored; the document's score is its highest logit, calibrated to a probability by logistic regression.
 
-Training: on the driver, on at most SAMPLE labelled documents taken in the order of a hash of their id (fewer if there are fewer); of each document the windows with
-the most telling words and random ones. First embedding coordinates start at the words' and trigrams' log-odds in the sample. The loss is the cross-entropy of a
-document's best window. One text and its near copies (a Jaccard index of COPY over the whole texts' shingles) of a label count once.
+Training: on the driver, on at most SAMPLE labelled documents taken in the order of a hash of their id (fewer if there are fewer), on all their windows. First
+embedding coordinates start at the words' and trigrams' log-odds in the sample. The loss is the cross-entropy of a document's best window. One text and its near
+copies (a Jaccard index of COPY over the whole texts' shingles) of a label count once.
 
 Null and empty texts are one empty window. Labels with null, and of documents that are missing, are ignored; a document with several labels counts as toxic if one
 of them says so. Without labels of both kinds every score is 0. Repeated rows get equal scores. An empty table gives no rows. Other columns are kept by
@@ -36,7 +36,6 @@ VOCABULARY, TRIGRAMS = 4000, 4096
 DIM, HIDDEN, ATT = 8, 12, 8
 EPOCHS, MOST_EPOCHS, LEAST_STEPS = 4, 16, 120
 BATCH, RATE, DECAY = 64, 0.01, 0.01
-PER_DOC = 4
 #: Jaccard index of whole texts from which one is a copy of the other.
 COPY = 0.75
 #: Standard errors from which a word counts as telling at the start.
@@ -274,15 +273,15 @@ def start(docs: list[list[str]], y: np.ndarray, rng: np.random.Generator) -> tup
     return Network(vocabulary, p), telling
 
 
-def candidates(words: list[str], telling: dict[str, float], rng: np.random.Generator) -> np.ndarray:
-    """PER_DOC windows of a document, as positions: half with its most telling words, half at random."""
-    at, _ = windows_of([len(words)])
-    if len(at) > PER_DOC:
-        z = np.array([max(0.0, telling.get(w, 0.0)) for w in words])
-        value = np.where(at >= 0, z[at], 0).max(1)
-        top = np.argsort(-value, kind="stable")[: PER_DOC // 2]
-        at = at[np.concatenate([top, rng.integers(0, len(at), PER_DOC - len(top))])]
-    return at
+def rows_at(own: np.ndarray, at: np.ndarray, pad: int) -> np.ndarray:
+    """Rows of the words at positions, whose row is own; pad past the end."""
+    return np.where(at < 0, pad, own[at] if len(own) else pad)
+
+
+def best_windows(net: Network, pre: np.ndarray, own: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The window with the highest logit (the first among equals) of each document, of all its windows."""
+    logit = np.concatenate([net.forward(pre, rows_at(own, at[i : i + CHUNK], len(pre) - 1)) for i in range(0, len(at), CHUNK)])
+    return np.array([a + np.argmax(logit[a:b]) for a, b in zip(first, np.append(first[1:], len(at)))])
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Network | None:
@@ -296,35 +295,25 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Network
         of = rng.permutation(np.flatnonzero(y == kind))
         calib[of[: len(of) // 4]] = True
     fit = np.flatnonzero(~calib)
-    net, telling = start([docs[i] for i in fit], y[fit], rng)
+    net = start([docs[i] for i in fit], y[fit], rng)[0]
     unique = sorted({w for d in docs for w in d}) or ["-"]
     number = {w: k for k, w in enumerate(unique)}
-    wins = []
-    for d in docs:
-        at = candidates(d, telling, rng)
-        ids = np.array([number[w] for w in d] or [0])
-        wins.append(np.where(at >= 0, ids[at], -1))
+    numbers = [np.array([number[w] for w in d], np.int32) for d in docs]
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
     epochs = min(MOST_EPOCHS, max(EPOCHS, -(-LEAST_STEPS * BATCH // len(fit))))
     for epoch in range(epochs):
         order = rng.permutation(fit)
         for i in range(0, len(order), BATCH):
             part = order[i : i + BATCH]
-            first = np.cumsum([0, *[len(wins[d]) for d in part[:-1]]])
-            flat = np.concatenate([wins[d] for d in part])
-            used, at = np.unique(flat, return_inverse=True)
-            pads = int(used[0] < 0)
-            words = [unique[k] for k in used[pads:]] or ["-"]
-            at = at.reshape(flat.shape) - pads
-            at = np.where(at < 0, len(words), at)
+            used, own = np.unique(np.concatenate([numbers[d] for d in part]), return_inverse=True)
+            words = [unique[k] for k in used] or ["-"]
+            at, first = windows_of([len(numbers[d]) for d in part])
             x, (wid, tri, n_tri) = net.inputs(words)
             pre = np.concatenate([x @ net.p["wx"] + net.p["bx"], net.pad_row()[None]]).astype(np.float32)
+            best = best_windows(net, pre, own, at, first)
             kept: dict = {}
-            logit = net.forward(pre, at, kept)
-            owner = np.repeat(np.arange(len(part)), np.diff(np.append(first, len(flat))))
-            top = np.maximum.reduceat(logit, first)
-            best = logit >= top[owner]
-            dlogit = np.where(best, (sigmoid(top) - y[part])[owner], 0).astype(np.float32) / len(part)
+            at = rows_at(own, at[best], len(words))
+            dlogit = (sigmoid(net.forward(pre, at, kept)) - y[part]).astype(np.float32) / len(part)
             g, dpre = net.backward(dlogit, kept)
             flat_pre = np.zeros_like(pre)
             np.add.at(flat_pre, at.T.ravel(), dpre.reshape(-1, 6 * HIDDEN))

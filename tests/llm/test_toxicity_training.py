@@ -37,3 +37,28 @@ def test_copies_equal_brute_force(words):
         if all(len(g & grams[j]) < 0.75 * len(g | grams[j]) for j in kept):
             kept.append(i)
     assert X.distinct(docs, [1] * len(docs))[0] == [docs[i] for i in kept]
+
+
+def test_training_reads_all_windows(words, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = [[words[k] for k in rng.integers(0, len(words), 300)] for _ in range(16)]
+    seen, forward = [], X.Network.forward
+    monkeypatch.setattr(X.Network, "forward", lambda self, pre, at, keep=None: (seen.append(len(at)), forward(self, pre, at, keep))[1])
+    assert X.train([" ".join(d) for d in docs], [i % 2 for i in range(16)])
+    each = len(X.windows_of([300])[0])
+    fit = 12  # three quarters of each kind
+    assert sum(seen) >= X.MOST_EPOCHS * fit * each
+
+
+def test_best_window_of_each_document(words):
+    rng = np.random.default_rng(6)
+    docs = [words[:100], [], words[100:110], words[110:400]]
+    net, _ = X.start(docs, np.array([1, 0, 1, 0]), rng)
+    used, own = np.unique(np.concatenate([np.array([words.index(w) for w in d], int) for d in docs]), return_inverse=True)
+    pre = np.concatenate([net.inputs([words[k] for k in used])[0] @ net.p["wx"] + net.p["bx"], net.pad_row()[None]]).astype(np.float32)
+    at, first = X.windows_of([len(d) for d in docs])
+    best = X.best_windows(net, pre, own, at, first)
+    ends = [*first[1:], len(at)]
+    assert all(a <= k < b for a, k, b in zip(first, best, ends))
+    got = net.forward(pre, X.rows_at(own, at[best], len(pre) - 1))
+    assert np.allclose(got, net.logits([" ".join(d) for d in docs]), atol=1e-4)
