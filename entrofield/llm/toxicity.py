@@ -1,8 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over words and their characters, trained in numpy.
 
 Input of a word: an embedding (words of the training sample's vocabulary; all others share one) and the mean embedding of its hashed character trigrams. Two gated
-recurrent layers read a window of WINDOW words in both directions; attention pools their states to one logit per window. All windows, STRIDE apart and so
-overlapping, of the whole text are scored; the document's score is its highest logit, calibrated to a probability by logistic regression.
+recurrent layers read a window of WINDOW words in both directions; attention pools their states to one logit per window. All overlapping windows, one at
+each STRIDE words, of the whole text are scored; the document's score is its highest logit, calibrated to a probability by logistic regression.
 
 Training: on the driver, on at most SAMPLE labelled documents taken in the order of a hash of their id (fewer if there are fewer), on all their windows. First
 embedding coordinates start at the words' and trigrams' log-odds in the sample. The loss is the cross-entropy of a document's best window. One text and its near
@@ -30,7 +30,7 @@ from .common import key_hash, map_whole, slices
 from .shingles import shingles
 
 WORD = re.compile(r"[^\W\d_]+")
-WINDOW, STRIDE = 24, 12
+WINDOW, STRIDE = 24, 1
 SAMPLE = 4000
 VOCABULARY, TRIGRAMS = 4000, 4096
 DIM, HIDDEN, ATT = 8, 12, 8
@@ -68,16 +68,26 @@ def trigram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[keep].astype(np.int64), np.concatenate([[0], np.cumsum(n - 2)[:-1]])
 
 
-def windows_of(n_words: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (windows, WINDOW) in the concatenated words of several documents, -1 past a document's end, and each document's first window."""
+def spans(n_words: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each window of several documents starts in their concatenated words and where its document ends, and each document's first window."""
     n = np.array(n_words)
     count = np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1)
     first = np.cumsum(count) - count
     doc = np.repeat(np.arange(len(n)), count)
-    start = (np.arange(count.sum()) - first[doc]) * STRIDE
+    end = np.cumsum(n)
+    return (end - n)[doc] + (np.arange(count.sum()) - first[doc]) * STRIDE, end[doc], first
+
+
+def positions(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Positions (windows, WINDOW) of the words, -1 past a document's end."""
     at = start[:, None] + np.arange(WINDOW)
-    base = np.cumsum(n) - n
-    return np.where(at < n[doc][:, None], at + base[doc][:, None], -1), first
+    return np.where(at < end[:, None], at, -1)
+
+
+def windows_of(n_words: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (windows, WINDOW) in the concatenated words of several documents, -1 past a document's end, and each document's first window."""
+    start, end, first = spans(n_words)
+    return positions(start, end), first
 
 
 # ---------------------------------------------------------------- network
@@ -191,11 +201,11 @@ class Network:
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """Highest window logit of each text."""
         words = [words_of(t) for t in texts]
-        at, first = windows_of([len(w) for w in words])
+        start, end, first = spans([len(w) for w in words])
         row = self.rows_of([w for ws in words for w in ws])
-        out = np.empty(len(at), np.float32)
-        for i in range(0, len(at), CHUNK):
-            part = at[i : i + CHUNK]
+        out = np.empty(len(start), np.float32)
+        for i in range(0, len(start), CHUNK):  # a long text has as many windows as words
+            part = positions(start[i : i + CHUNK], end[i : i + CHUNK])
             used, inv = np.unique(np.where(part < 0, 0, row[part] if len(row) else 0), return_inverse=True)
             if used[0] != 0:
                 used, inv = np.concatenate([[0], used]), inv + 1
@@ -278,10 +288,12 @@ def rows_at(own: np.ndarray, at: np.ndarray, pad: int) -> np.ndarray:
     return np.where(at < 0, pad, own[at] if len(own) else pad)
 
 
-def best_windows(net: Network, pre: np.ndarray, own: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The window with the highest logit (the first among equals) of each document, of all its windows."""
-    logit = np.concatenate([net.forward(pre, rows_at(own, at[i : i + CHUNK], len(pre) - 1)) for i in range(0, len(at), CHUNK)])
-    return np.array([a + np.argmax(logit[a:b]) for a, b in zip(first, np.append(first[1:], len(at)))])
+def best_windows(net: Network, pre: np.ndarray, own: np.ndarray, n_words: list[int]) -> np.ndarray:
+    """Positions of the window with the highest logit (the first among equals) of each document, of all its windows."""
+    start, end, first = spans(n_words)
+    logit = np.concatenate([net.forward(pre, rows_at(own, positions(start[i : i + CHUNK], end[i : i + CHUNK]), len(pre) - 1)) for i in range(0, len(start), CHUNK)])
+    best = np.array([a + np.argmax(logit[a:b]) for a, b in zip(first, np.append(first[1:], len(start)))])
+    return positions(start[best], end[best])
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Network | None:
@@ -307,12 +319,10 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Network
             part = order[i : i + BATCH]
             used, own = np.unique(np.concatenate([numbers[d] for d in part]), return_inverse=True)
             words = [unique[k] for k in used] or ["-"]
-            at, first = windows_of([len(numbers[d]) for d in part])
             x, (wid, tri, n_tri) = net.inputs(words)
             pre = np.concatenate([x @ net.p["wx"] + net.p["bx"], net.pad_row()[None]]).astype(np.float32)
-            best = best_windows(net, pre, own, at, first)
             kept: dict = {}
-            at = rows_at(own, at[best], len(words))
+            at = rows_at(own, best_windows(net, pre, own, [len(numbers[d]) for d in part]), len(words))
             dlogit = (sigmoid(net.forward(pre, at, kept)) - y[part]).astype(np.float32) / len(part)
             g, dpre = net.backward(dlogit, kept)
             flat_pre = np.zeros_like(pre)

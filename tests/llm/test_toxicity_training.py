@@ -56,9 +56,21 @@ def test_best_window_of_each_document(words):
     net, _ = X.start(docs, np.array([1, 0, 1, 0]), rng)
     used, own = np.unique(np.concatenate([np.array([words.index(w) for w in d], int) for d in docs]), return_inverse=True)
     pre = np.concatenate([net.inputs([words[k] for k in used])[0] @ net.p["wx"] + net.p["bx"], net.pad_row()[None]]).astype(np.float32)
-    at, first = X.windows_of([len(d) for d in docs])
-    best = X.best_windows(net, pre, own, at, first)
-    ends = [*first[1:], len(at)]
-    assert all(a <= k < b for a, k, b in zip(first, best, ends))
-    got = net.forward(pre, X.rows_at(own, at[best], len(pre) - 1))
+    at = X.best_windows(net, pre, own, [len(d) for d in docs])
+    assert [int((a >= 0).sum()) for a in at] == [24, 0, 10, 24]
+    got = net.forward(pre, X.rows_at(own, at, len(pre) - 1))
     assert np.allclose(got, net.logits([" ".join(d) for d in docs]), atol=1e-4)
+
+
+def test_a_window_at_every_word():
+    at, first = X.windows_of([100, 24, 30])
+    assert first.tolist() == [0, 77, 78] and len(at) == 77 + 1 + 7
+    assert all(row.tolist() == list(range(k, k + 24)) for k, row in enumerate(at[:77]))
+
+
+def test_context_between_windows_is_seen(words):
+    """The highest logit is that of the best run of 24 words, wherever it begins."""
+    net, _ = X.start([words[:80], words[80:160]], np.array([1, 0]), np.random.default_rng(2))
+    text = words[:70]
+    alone = [net.logits([" ".join(text[k : k + 24])])[0] for k in range(47)]
+    assert abs(net.logits([" ".join(text)])[0] - max(alone)) < 1e-4
