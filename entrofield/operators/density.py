@@ -12,6 +12,10 @@ from .binning import Range, equal_width, known, with_bin, with_range
 from .entropy import counts
 
 
+#: Cells a bandwidth, and bandwidths from which exp(-d * d / 2) underflows to 0.
+FINE, REACH = 64, 40
+
+
 def gaussian(x: Column, mu: Column | float, sigma: Column | float) -> Column:
     sigma = sigma if isinstance(sigma, Column) else F.lit(sigma)
     d = (x - mu) / sigma
@@ -41,17 +45,18 @@ def kde(df: DataFrame, value: str, m: int, h: float | str = "variance") -> DataF
 def kde_entropy(df: DataFrame, value: str, h: float | str = "variance", normalize: bool = False, cells: int = 4096) -> DataFrame:
     """-sum p log2 p over the rows' own kernel densities p, each normalised by the sum of densities.
 
-    Distinct values are weighted by their counts. Beyond `cells` distinct values, values are first counted in that many equal cells and each cell stands at its mean, so
-    that the pairs stay bounded by cells ** 2 at any size; then the result is exact up to the width of a cell.
+    Distinct values are weighted by their counts. Beyond `cells` distinct values, values are first counted in cells of h / FINE, whatever the range, and each cell stands
+    at its mean; then the result is exact up to the width of a cell. Values meet those of their own and the neighbouring blocks of REACH * h; beyond, a kernel is 0 in double.
     """
     df = known(df, value).select(F.col(value).cast("double").alias("v"))
     stats = df.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.var_pop("v").alias("var"), F.count_distinct("v").alias("kinds"))
     width = F.lit(float(h)) if not isinstance(h, str) else bandwidth(h, F.col("n"), F.col("var"))
     stats = stats.withColumn("h", width)
-    cell = F.when(F.col("kinds") <= cells, F.col("v")).otherwise(equal_width(F.col("v"), F.col("lo"), F.col("hi"), cells).cast("double"))
-    points = df.join(F.broadcast(stats)).groupBy(cell.alias("cell")).agg(F.avg("v").alias("v"), F.count("*").alias("w"), F.first("h").alias("h"), F.first("n").alias("n"))
-    other = points.select(F.col("v").alias("v2"), F.col("w").alias("w2"))
-    dens = points.join(F.broadcast(other)).groupBy("cell", "w", "n").agg((F.sum(F.col("w2") * gaussian(F.col("v"), F.col("v2"), F.col("h"))) / F.first("n")).alias("d"))  # at most `cells` points a side
+    cell = F.when(F.col("kinds") <= cells, F.col("v")).otherwise(F.floor((F.col("v") - F.col("lo")) / (F.col("h") / FINE)).cast("double"))
+    points = df.join(F.broadcast(stats)).groupBy(cell.alias("cell")).agg(F.avg("v").alias("v"), F.count("*").alias("w"), F.first("h").alias("h"), F.first("n").alias("n"), F.first("lo").alias("lo"))
+    points = points.withColumn("block", F.floor((F.col("v") - F.col("lo")) / (F.col("h") * REACH)))
+    other = points.select(F.explode(F.array(*[F.col("block") + k for k in (-1, 0, 1)])).alias("block"), F.col("v").alias("v2"), F.col("w").alias("w2"))
+    dens = points.join(other, "block").groupBy("cell", "w", "n").agg((F.sum(F.col("w2") * gaussian(F.col("v"), F.col("v2"), F.col("h"))) / F.first("n")).alias("d"))
     total = dens.agg(F.sum(F.col("w") * F.col("d")).alias("t"))
     p = F.col("d") / F.col("t")
     out = -F.sum(F.col("w") * p * F.log2(p))

@@ -34,6 +34,11 @@ def e5(spark, d):
     return rounded(density.kde_entropy(table(spark, d, "lineitem"), "l_quantity", "silverman"), "entropy")
 
 
+@query("e5_kde_entropy_continuous")
+def e5_continuous(spark, d):
+    return rounded(density.kde_entropy(table(spark, d, "lineitem"), "l_extendedprice", "silverman"), "entropy")
+
+
 _SCORE = "SELECT n_bins, round((2 - (sum(n) + 1) * (sum(n * n) / (CAST(sum(n) AS DOUBLE) * sum(n)))) / ((sum(n) - 1) * any_value(w)), 9) AS score FROM {h} GROUP BY n_bins"
 _LINEAR = f"r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), k AS (SELECT CAST(20 + 20 * unnest(range(10)) AS INTEGER) AS n_bins), h AS (SELECT n_bins, {sql_bin('l_extendedprice', 'n_bins')} AS bin, count(*) AS n, any_value((hi - lo) / n_bins) AS w FROM lineitem, r, k GROUP BY 1, 2)"
 _HALF = f"r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), f AS (SELECT {sql_bin('l_extendedprice', 1024)} AS bin, count(*) AS n FROM lineitem, r GROUP BY 1), k AS (SELECT unnest(range(8)) AS k), h AS (SELECT CAST(1024 // (2 ** k)::INT AS INTEGER) AS n_bins, bin // (2 ** k)::INT AS bin, sum(n) AS n, any_value((hi - lo) / (1024 // (2 ** k)::INT)) AS w FROM f, k, r GROUP BY 1, 2)"
