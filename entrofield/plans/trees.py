@@ -79,3 +79,23 @@ def p6(spark, d):
 @query("p8_p9_deep_tree")
 def p8(spark, d):
     return build(spark, d, "octree", 3, min_cells=30)
+
+
+@query("p2_quadtree_deep")
+def p2_deep(spark, d):
+    return build(spark, d, "quadtree", 3)
+
+
+@query("p3_kd_middle_deep")
+def p3_deep(spark, d):
+    return build(spark, d, "kd_middle", 4)
+
+
+@query("p4_max_entropy_split_deep")
+def p4_deep(spark, d):
+    return build(spark, d, "max_entropy", 3)
+
+
+@query("p5_sum_entropy_split_deep")
+def p5_deep(spark, d):
+    return build(spark, d, "sum_entropy", 3)
