@@ -14,6 +14,8 @@ from .entropy import counts
 
 #: Cells a bandwidth, and bandwidths from which exp(-d * d / 2) underflows to 0.
 FINE, REACH = 64, 40
+#: Tasks that share the points of a block.
+PARTS = 32
 
 
 def gaussian(x: Column, mu: Column | float, sigma: Column | float) -> Column:
@@ -42,21 +44,34 @@ def kde(df: DataFrame, value: str, m: int, h: float | str = "variance") -> DataF
     return out.select("i", "x", "density")
 
 
-def kde_entropy(df: DataFrame, value: str, h: float | str = "variance", normalize: bool = False, cells: int = 4096) -> DataFrame:
+def kde_entropy(df: DataFrame, value: str, h: float | str = "variance", normalize: bool = False) -> DataFrame:
     """-sum p log2 p over the rows' own kernel densities p, each normalised by the sum of densities.
 
-    Distinct values are weighted by their counts. Beyond `cells` distinct values, values are first counted in cells of h / FINE, whatever the range, and each cell stands
-    at its mean; then the result is exact up to the width of a cell. Values meet those of their own and the neighbouring blocks of REACH * h; beyond, a kernel is 0 in double.
+    Exact: distinct values, weighted by their counts, meet all others of their own and the neighbouring blocks of REACH * h; beyond, a kernel is 0 in double. So the cost grows with the
+    square of the distinct values within that reach; kde_entropy_binned() is the approximation for many.
     """
+    return _kde_entropy(df, value, h, normalize, F.col("v"))
+
+
+def kde_entropy_binned(df: DataFrame, value: str, h: float | str = "variance", normalize: bool = False) -> DataFrame:
+    """kde_entropy() of values counted in cells of h / FINE, whatever the range, where each cell stands at its mean: exact up to the width of a cell, at a cost that depends on the range in
+    bandwidths alone.
+    """
+    return _kde_entropy(df, value, h, normalize, F.floor((F.col("v") - F.col("lo")) / (F.col("h") / FINE)).cast("double"))
+
+
+def _kde_entropy(df: DataFrame, value: str, h: float | str, normalize: bool, cell: Column) -> DataFrame:
     df = known(df, value).select(F.col(value).cast("double").alias("v"))
-    stats = df.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.var_pop("v").alias("var"), F.count_distinct("v").alias("kinds"))
+    stats = df.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.var_pop("v").alias("var"))
     width = F.lit(float(h)) if not isinstance(h, str) else bandwidth(h, F.col("n"), F.col("var"))
     stats = stats.withColumn("h", width)
-    cell = F.when(F.col("kinds") <= cells, F.col("v")).otherwise(F.floor((F.col("v") - F.col("lo")) / (F.col("h") / FINE)).cast("double"))
     points = df.join(F.broadcast(stats)).groupBy(cell.alias("cell")).agg(F.avg("v").alias("v"), F.count("*").alias("w"), F.first("h").alias("h"), F.first("n").alias("n"), F.first("lo").alias("lo"))
     points = points.withColumn("block", F.floor((F.col("v") - F.col("lo")) / (F.col("h") * REACH)))
+    # one block can hold all values: its points are dealt over PARTS tasks, to each of which the others go
+    points = points.withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(PARTS)))
     other = points.select(F.explode(F.array(*[F.col("block") + k for k in (-1, 0, 1)])).alias("block"), F.col("v").alias("v2"), F.col("w").alias("w2"))
-    dens = points.join(other, "block").groupBy("cell", "w", "n").agg((F.sum(F.col("w2") * gaussian(F.col("v"), F.col("v2"), F.col("h"))) / F.first("n")).alias("d"))
+    other = other.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    dens = points.join(other, ["block", "part"]).groupBy("cell", "w", "n").agg((F.sum(F.col("w2") * gaussian(F.col("v"), F.col("v2"), F.col("h"))) / F.first("n")).alias("d"))
     total = dens.agg(F.sum(F.col("w") * F.col("d")).alias("t"))
     p = F.col("d") / F.col("t")
     out = -F.sum(F.col("w") * p * F.log2(p))
