@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,11 +25,25 @@ def write_windows(rows: DataFrame, path: str, checkpoint: str, **kw) -> Streamin
 
 
 def update_steps(rows: DataFrame, path: str, checkpoint: str, n_bins: int, lo: float, hi: float) -> StreamingQuery:
-    """Per micro-batch, the entropy of each (time_step, block_id) that it completes; a repeated batch replaces its own output."""
+    """Per micro-batch, the entropy so far of each (time_step, block_id) that it has rows of.
+
+    Each batch adds its counts to a table of its own below `_counts` and entropies are those of all batches' counts up to it, so a step whose rows come in several batches is right after the
+    last one; latest_steps() gives the last state of every step. A repeated batch replaces its own counts and output.
+    """
 
     def sink(batch: DataFrame, epoch: int) -> None:
+        spark, keys = batch.sparkSession, ["time_step", "block_id"]
         binned = batch.withColumn("bin", equal_width(F.col("value"), lo, hi, n_bins)).where("bin is not null")
-        out = binned.groupBy("time_step", "block_id", "bin").agg(F.count("*").alias("n")).groupBy("time_step", "block_id").agg(entropy_of("n").alias("entropy"))
-        out.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        binned.groupBy(*keys, "bin").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/_counts/epoch={epoch}")
+        every = spark.read.parquet(f"{path}/_counts").where(F.col("epoch") <= epoch)
+        now = every.where(F.col("epoch") == epoch).select(*keys).distinct()
+        merged = every.join(now, keys, "left_semi").groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+        merged.groupBy(*keys).agg(entropy_of("n").alias("entropy")).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_steps(spark: SparkSession, path: str) -> DataFrame:
+    """time_step, block_id, entropy: the last state that update_steps() wrote of each step."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("time_step", "block_id").agg(F.max_by("entropy", "epoch").alias("entropy"))

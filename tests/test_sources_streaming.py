@@ -99,3 +99,15 @@ def test_steps_by_batch(spark, tmp_path):
     q = streaming.update_steps(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), 8, 0.0, 8.0)
     q.awaitTermination(120)
     assert [round(r.entropy, 6) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [3.0] * 4
+
+
+def test_step_over_several_batches(spark, tmp_path):
+    """A step's rows in two batches give the entropy of all of them; a step of the first batch alone stays."""
+    schema = "time_step int, block_id int, value double"
+    start = lambda: streaming.update_steps(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), 8, 0.0, 8.0).awaitTermination(120)
+    spark.createDataFrame([(0, 0, float(v)) for v in range(4)] + [(1, 0, 1.5), (1, 0, 2.5)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    start()
+    assert {(r.time_step, r.block_id): round(r.entropy, 6) for r in streaming.latest_steps(spark, str(tmp_path / "out")).collect()} == {(0, 0): 2.0, (1, 0): 1.0}
+    spark.createDataFrame([(0, 0, float(v)) for v in range(4, 8)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    start()
+    assert {(r.time_step, r.block_id): round(r.entropy, 6) for r in streaming.latest_steps(spark, str(tmp_path / "out")).collect()} == {(0, 0): 3.0, (1, 0): 1.0}
