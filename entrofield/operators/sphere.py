@@ -154,7 +154,7 @@ def geodesic_bin(x: Column, y: Column, z: Column, divisions: int = 4, n_theta: i
 
 
 def geodesic_exact(df: DataFrame, x: str, y: str, z: str, divisions: int, key: str) -> DataFrame:
-    """key, bin by the ray-triangle test: a join with the triangles, whose number is a parameter; the first hit counts."""
+    """key, bin by the ray-triangle test: a join with the triangles, whose number is a parameter; the first hit counts. A row that hits none (a zero vector, nulls) has bin null."""
     from ..functions.vector import ray_hits_triangle
 
     v, tri = geodesic(divisions)
@@ -163,7 +163,7 @@ def geodesic_exact(df: DataFrame, x: str, y: str, z: str, divisions: int, key: s
     t = df.sparkSession.createDataFrame(rows, "tri int, " + ", ".join(f"{n} double" for n in names))
     d = [F.col(c) for c in (x, y, z)]
     hit = ray_hits_triangle(d, *[[F.col(f"{p}{c}") for c in "xyz"] for p in "abc"])
-    return df.join(F.broadcast(t), hit).groupBy(key).agg(F.min("tri").alias("bin"))
+    return df.join(F.broadcast(t), hit, "left").groupBy(key).agg(F.min("tri").alias("bin"))
 
 
 def triangles(spark: SparkSession, divisions: int) -> DataFrame:

@@ -61,7 +61,10 @@ def bin5(spark, d):
     return vectors(spark, d).select("vec_id", sphere.patch_bin(F.col("u"), F.col("v"), F.col("w"), 360, 512, 256).alias("bin"))
 
 
-@query("bin6_patches")
+_CENTRE = "m AS (SELECT id, (a + b) / 2 AS th, CASE WHEN id = 0 THEN 0 WHEN id = 359 THEN pi() ELSE (c + d) / 2 END AS ph FROM p), q AS (SELECT id, round(sin(ph) * cos(th), 6) AS cx, round(sin(ph) * sin(th), 6) AS cy, round(cos(ph), 6) AS cz FROM m)"
+
+
+@query("bin6_patches", f"WITH {sql_patches(360)}, {_CENTRE} SELECT CAST(id AS INTEGER) AS patch_id, round(a, 6) AS theta_lo, round(b, 6) AS theta_hi, round(c, 6) AS phi_lo, round(d, 6) AS phi_hi, cx, cy, cz FROM p JOIN q USING (id)")
 def bin6(spark, d):
     return rounded(sphere.patches(spark, 360), "theta_lo", "theta_hi", "phi_lo", "phi_hi", "cx", "cy", "cz")
 
@@ -76,7 +79,21 @@ def bin8(spark, d):
     return vectors(spark, d).select("vec_id", sphere.geodesic_bin(F.col("u"), F.col("v"), F.col("w"), 4).alias("bin"))
 
 
-@query("bin8_geodesic_exact")
+def sql_ray(divisions: int) -> str:
+    """Triangle of each vector by barycentric coordinates of the ray's hit; the first triangle counts, none gives null."""
+    v, tri = sphere.geodesic(divisions)
+    names = [f"{p}_{c}" for p in "abc" for c in "xyz"]
+    rows = ", ".join(f"({i}, {', '.join(f'{x!r}::DOUBLE' for x in v[t].ravel().tolist())})" for i, t in enumerate(tri))
+    cross = lambda p, q: [f"({p[1]} * {q[2]} - {p[2]} * {q[1]})", f"({p[2]} * {q[0]} - {p[0]} * {q[2]})", f"({p[0]} * {q[1]} - {p[1]} * {q[0]})"]
+    dot = lambda p, q: "(" + " + ".join(f"{x} * {y}" for x, y in zip(p, q)) + ")"
+    e1, e2, a, d = [f"(b_{c} - a_{c})" for c in "xyz"], [f"(c_{c} - a_{c})" for c in "xyz"], [f"(-a_{c})" for c in "xyz"], ["u", "v", "w"]
+    h, q = cross(d, e2), cross(a, e1)
+    each = f"SELECT vec_id, tri_id, {dot(e1, h)} AS det, {dot(a, h)} AS bary1, {dot(d, q)} AS bary2, {dot(e2, q)} AS far FROM vecs, tri"
+    hit = "abs(det) > 1e-12 AND bary1 / det >= -1e-9 AND bary2 / det >= -1e-9 AND bary1 / det + bary2 / det <= 1 + 1e-9 AND far / det > 0"
+    return f"tri(tri_id, {', '.join(names)}) AS (VALUES {rows}), hits AS ({each}) SELECT vec_id, CAST(min(tri_id) FILTER (WHERE {hit}) AS INTEGER) AS bin FROM hits GROUP BY vec_id"
+
+
+@query("bin8_geodesic_exact", f"WITH {VECS}, {sql_ray(3)}")
 def bin8_exact(spark, d):
     return sphere.geodesic_exact(vectors(spark, d), "u", "v", "w", 3, "vec_id")
 
@@ -112,7 +129,7 @@ def bin12(spark, d):
     return vectors(spark, d).select("vec_id", (two * 24 + one).alias("bin"))
 
 
-@query("bin13_patch_centre")
+@query("bin13_patch_centre", f"WITH {VECS}, {sql_patches(360)}, {_CORNER.format(nt=720, np=360)}, {_CENTRE}, f AS ({_FIRST}) SELECT vec_id, cx, cy, cz FROM f JOIN q ON q.id = f.bin")
 def bin13(spark, d):
     b = vectors(spark, d).select("vec_id", sphere.patch_bin(F.col("u"), F.col("v"), F.col("w")).alias("patch_id"))
     return rounded(b.join(F.broadcast(sphere.patches(spark, 360)), "patch_id").select("vec_id", "cx", "cy", "cz"), "cx", "cy", "cz")
@@ -244,9 +261,10 @@ def e7_own(spark, d):
     return rounded(E.of_bins(B.with_bin(b, 25, range_="block", keys=["block_id"]), ["block_id"]), "entropy")
 
 
-def sql_local(b: str, key: str = "bin", zmax: str = "(SELECT max(z) FROM cells)") -> str:
+def sql_local(b: str, key: str = "bin", zmax: str = "(SELECT max(z) FROM cells)", radius: tuple[int, int, int] = (1, 1, 1), norm: int | None = None) -> str:
     m = lambda v, h: f"(CASE WHEN {v} < 0 THEN -({v}) - 1 WHEN {v} > {h} THEN 2 * {h} - ({v}) - 1 ELSE {v} END)"
-    return f"o AS (SELECT a.d AS dx, b.d AS dy, c.d AS dz FROM (SELECT unnest([-1, 0, 1]) AS d) a, (SELECT unnest([-1, 0, 1]) AS d) b, (SELECT unnest([-1, 0, 1]) AS d) c), s AS (SELECT cell_id, {m('x + dx', '9')} AS nx, {m('y + dy', '9')} AS ny, {m('z + dz', zmax)} AS nz FROM cells, o), h AS (SELECT s.cell_id, {key} AS bin, count(*) AS n FROM s JOIN {b} ON {b}.x = nx AND {b}.y = ny AND {b}.z = nz GROUP BY ALL) {sql_entropy('h', 'cell_id')}"
+    reach = ", ".join(f"(SELECT unnest(range({-k}, {k + 1})) AS d) {n}" for n, k in zip("abc", radius))
+    return f"o AS (SELECT a.d AS dx, b.d AS dy, c.d AS dz FROM {reach}), s AS (SELECT cell_id, {m('x + dx', '9')} AS nx, {m('y + dy', '9')} AS ny, {m('z + dz', zmax)} AS nz FROM cells, o), h AS (SELECT s.cell_id, {key} AS bin, count(*) AS n FROM s JOIN {b} ON {b}.x = nx AND {b}.y = ny AND {b}.z = nz GROUP BY ALL) {sql_entropy('h', 'cell_id', norm=norm)}"
 
 
 @query("e8_local_entropy", f"WITH {CELLS}, {VALUE}, {sql_local('b')}")
@@ -255,7 +273,7 @@ def e8(spark, d):
     return rounded(stencil.local_entropy(b, g, 1, 25).select("cell_id", "entropy"), "entropy")
 
 
-@query("e8_local_entropy_wide")
+@query("e8_local_entropy_wide", f"WITH {CELLS}, {VALUE}, {sql_local('b', radius=(3, 3, 6), norm=25)}")
 def e8_wide(spark, d):
     b, g = event_bins(spark, d)
     return rounded(stencil.local_entropy(b, g, (3, 3, 6), 25, normalize=True).select("cell_id", "entropy"), "entropy")

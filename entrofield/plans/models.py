@@ -34,9 +34,14 @@ def e5(spark, d):
     return rounded(density.kde_entropy(table(spark, d, "lineitem"), "l_quantity", "silverman"), "entropy")
 
 
-@query("e5_kde_entropy_continuous")
+@query("e5_kde_entropy_continuous", "WITH v AS (SELECT value AS v, count(*) AS w FROM events GROUP BY 1), h AS (SELECT count(*) AS n, 1.06 * stddev_pop(value) * count(*) ** -0.2 AS h FROM events), d AS (SELECT a.v, a.w, sum(b.w * exp(0 - ((a.v - b.v) / h) ** 2 / 2) / (h * sqrt(2 * pi()))) / any_value(n) AS d FROM v a, v b, h GROUP BY a.v, a.w), t AS (SELECT sum(w * d) AS t FROM d) SELECT round(-sum(w * (d / t) * log2(d / t)), 6) AS entropy FROM d, t")
 def e5_continuous(spark, d):
-    return rounded(density.kde_entropy(table(spark, d, "lineitem"), "l_extendedprice", "silverman"), "entropy")
+    return rounded(density.kde_entropy(table(spark, d, "events"), "value", "silverman"), "entropy")
+
+
+@query("e5_kde_entropy_binned")
+def e5_binned(spark, d):
+    return rounded(density.kde_entropy_binned(table(spark, d, "lineitem"), "l_extendedprice", "silverman"), "entropy")
 
 
 _SCORE = "SELECT n_bins, round((2 - (sum(n) + 1) * (sum(n * n) / (CAST(sum(n) AS DOUBLE) * sum(n)))) / ((sum(n) - 1) * any_value(w)), 9) AS score FROM {h} GROUP BY n_bins"
@@ -111,6 +116,51 @@ def io5(spark, d):
     return back.groupBy("block_id").agg(F.count("*").alias("n"), F.sum(F.col("is_ghost").cast("int")).alias("ghosts"))
 
 
+_IO3 = "SELECT CAST((CASE WHEN z >= 2 * (zn // 3) THEN 2 ELSE z // (zn // 3) END * 3 + CASE WHEN y >= 6 THEN 2 ELSE y // 3 END) * 4 + CASE WHEN x >= 6 THEN 3 ELSE x // 2 END AS INTEGER) AS block_id, count(*) AS n, CAST(sum(cell_id) AS BIGINT) AS cells FROM cells, (SELECT max(z) + 1 AS zn FROM cells) GROUP BY 1"
+
+
+@query("io3_raster_floor_split", f"WITH {CELLS} {_IO3}")
+def io3(spark, d):
+    """The floor split gives what is left of an axis to its last block."""
+    from ..sources.raster import read_raster, write_raster
+
+    df, g = event_grid(spark, d)
+    path = shared_dir(spark, "raster") + "/field.vol"
+    write_raster(df.select("cell_id", "value"), path, g.dims)
+    return read_raster(spark, path, blocks="4,3,3", split="floor").groupBy("block_id").agg(F.count("*").alias("n"), F.sum("cell_id").alias("cells"))
+
+
+@query("io14_endian", f"WITH {CELLS} SELECT o AS endian, t AS dtype, count(*) AS n, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total FROM cells, (SELECT unnest(['little', 'big']) AS o), (SELECT unnest(['i4', 'i8']) AS t) GROUP BY ALL")
+def io14(spark, d):
+    from ..sources.raster import read_raster, write_raster
+
+    df, g = event_grid(spark, d)
+    root, out = shared_dir(spark, "raster"), None
+    for order in ("little", "big"):
+        for kind in ("i4", "i8"):
+            path = f"{root}/{order}-{kind}.vol"
+            write_raster(df.select("cell_id", F.floor("value").alias("value")), path, g.dims, dtype=kind, endian=order)
+            one = read_raster(spark, path, endian=order, dtype=kind, blocks="1,1,2").agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("total"))
+            one = one.select(F.lit(order).alias("endian"), F.lit(kind).alias("dtype"), "n", "total")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("io24_patch_file", "SELECT CAST(i AS INTEGER) AS patch_id, i / 10.0 AS theta_lo, (i + 1) / 10.0 AS theta_hi, i / 20.0 AS phi_lo, (i + 1) / 20.0 AS phi_hi FROM (SELECT unnest(range(60)) AS i)")
+def io24(spark, d):
+    """A table of patches written as text, pairs of quoted lines, and read back."""
+    from ..sources.files import filesystem
+    from ..sources.tables import read_patches
+
+    path = shared_dir(spark, "patches") + "/patches.txt"
+    fs, p = filesystem(path)
+    fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(p) as out:
+        for i in range(60):
+            out.write(f'"{i / 10},{(i + 1) / 10}"\n"{i / 20},{(i + 1) / 20}"\n\n'.encode())
+    return read_patches(spark, path)
+
+
 @query("io15_io16_step_tables", "SELECT CAST(day(ts) - 1 AS INTEGER) AS time_step, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1")
 def io16(spark, d):
     from ..operators.randomfield import Session

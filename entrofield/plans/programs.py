@@ -9,7 +9,7 @@ from ..sources.files import shared_dir
 from ..sources.raster import read_raster, strip_header, write_raster
 from . import drivers
 from .common import CELLS, event_grid, query, rounded, sql_bin, sql_entropy
-from .fields import _BLOCK, sql_local
+from .fields import _BLOCK, sql_local, sql_patches
 
 
 def files(spark, d) -> dict[str, str]:
@@ -52,6 +52,11 @@ def m4(spark, d):
     return rounded(both.select("cell_id", "entropy"), "entropy")
 
 
+@query("m5_scalar_local_normalised", f"WITH {CELLS}, {_F}, c AS (SELECT x, y, z, {sql_bin('a', 32)} AS bin FROM f, ra), {sql_local('c', norm=32)}")
+def m5(spark, d):
+    return rounded(drivers.run(spark, Args(functionType="4", scalarField=files(spark, d)["a.vol"], nBin="32"), "scalar").select("cell_id", "entropy"), "entropy")
+
+
 @query("m6_scalar_joint", f"WITH {CELLS}, {_F}, h AS (SELECT {sql_bin('b', 20, 'rb.lo', 'rb.hi')} * 20 + {sql_bin('a', 20, 'ra.lo', 'ra.hi')} AS bin, count(*) AS n FROM f, ra, rb GROUP BY 1) {sql_entropy('h')}")
 def m6(spark, d):
     f = files(spark, d)
@@ -68,7 +73,17 @@ def m8(spark, d):
     return rounded(drivers.run(spark, Args(functionType="4", vectorField=files(spark, d)["u.vec"], nDivision="2", neighborhoodSize="1"), "vector").select("cell_id", "entropy"), "entropy")
 
 
-@query("m9_vector_joint_local")
+def _patch(name: str, x: str, y: str, z: str) -> str:
+    """Patch of 24 of a vector of each cell through the table of 48 x 24 directions."""
+    th = f"2 * pi() * least(47, floor(48 * (CASE WHEN {x} = 0 AND {y} = 0 THEN 0 ELSE pi() + atan2({y}, {x}) END) / (2 * pi()))) / 48"
+    ph = f"pi() * least(23, floor(24 * abs(pi() / 2 - atan2({z}, sqrt({x} * {x} + {y} * {y}))) / pi())) / 24"
+    return f"t{name} AS (SELECT cell_id, {th} AS th, {ph} AS ph FROM c3), {name} AS (SELECT cell_id, CAST(min(id) AS INTEGER) AS bin FROM t{name} JOIN p ON ph BETWEEN c AND d AND (th BETWEEN a AND b OR th + 2 * pi() BETWEEN a AND b) GROUP BY cell_id)"
+
+
+_M9 = "c3 AS (SELECT cell_id, x - 4.5 AS ux, y - 4.5 AS uy, floor(value) % 11 - 5.25 AS uz, floor(value) % 7 - 3.25 AS vx, x - y + 0.5 AS vy, z % 5 - 2.25 AS vz FROM cells)"
+
+
+@query("m9_vector_joint_local", f"WITH {CELLS}, {sql_patches(24)}, {_M9}, {_patch('q1', 'ux', 'uy', 'uz')}, {_patch('q2', 'vx', 'vy', 'vz')}, c2 AS (SELECT x, y, z, q2.bin * 24 + q1.bin AS bin FROM cells JOIN q1 USING (cell_id) JOIN q2 USING (cell_id)), {sql_local('c2')}")
 def m9(spark, d):
     f = files(spark, d)
     return rounded(drivers.run(spark, Args(functionType="6", vectorField=f["u.vec"], vectorField2=f["v.vec"], nBin="24", neighborhoodSize="1"), "vector").select("cell_id", "entropy"), "entropy")
@@ -88,7 +103,34 @@ def m12(spark, d):
     return drivers.run(spark, Args(scalarField=files(spark, d)["a.vol"], nBin="64"), "nonspatial")
 
 
-@query("m17_cross_validation_blockwise")
+_M17 = f"k AS (SELECT unnest(range(6)) AS k), fine AS (SELECT {{block}} AS block_id, {sql_bin('a', 256)} AS bin, count(*) AS n FROM f, ra, zm GROUP BY 1, 2), h AS (SELECT block_id, CAST(256 // (2 ** k)::INT AS INTEGER) AS n_bins, bin // (2 ** k)::INT AS bin, sum(n) AS n, any_value((hi - lo) / (256 // (2 ** k)::INT)) AS w FROM fine, k, ra GROUP BY 1, 2, 3), s AS (SELECT block_id, n_bins, (2 - (sum(n) + 1) * (sum(n * n) / (CAST(sum(n) AS DOUBLE) * sum(n)))) / ((sum(n) - 1) * any_value(w)) AS score FROM h GROUP BY 1, 2)"
+_EIGHTH = "CAST((z // ((m + 2) // 2)) * 4 + (y // 5) * 2 + x // 5 AS INTEGER)"
+
+
+@query("m17_cross_validation_halving", f"WITH {CELLS}, {_F}, zm AS (SELECT max(z) AS m FROM cells), {_M17.format(block='0')} SELECT n_bins, round(score, 9) AS score FROM s")
+def m17_halving(spark, d):
+    args = Args(functionType="1", scalarField=files(spark, d)["a.vol"], nBinStart="256", nIter="6")
+    return rounded(drivers.run(spark, args, "crossvalidate"), "score", digits=9)
+
+
+@query("m17_cross_validation_geodesic")
+def m17_geodesic(spark, d):
+    args = Args(functionType="1", fieldType="vector", vectorField=files(spark, d)["u.vec"], nDivision="3")
+    return rounded(drivers.run(spark, args, "crossvalidate"), "score", digits=9)
+
+
+@query("m11_mesh_program")
+def m11(spark, d):
+    """The tetrahedral mesh of the event grid written as text, read and evaluated by the mesh program."""
+    from ..sources.tables import write_mesh
+    from .meshes import mesh
+
+    path = shared_dir(spark, "mesh") + "/mesh.txt"
+    write_mesh(*mesh(spark, d), path)
+    return rounded(drivers.run(spark, Args(functionType="1", inputField=path, nBin="64"), "mesh"), "entropy")
+
+
+@query("m17_cross_validation_blockwise", f"WITH {CELLS}, {_F}, zm AS (SELECT max(z) AS m FROM cells), {_M17.format(block=_EIGHTH)} SELECT block_id, CAST(arg_min(n_bins, score) AS INTEGER) AS n_bins, round(min(score), 9) AS score FROM s GROUP BY block_id")
 def m17(spark, d):
     args = Args(functionType="4", scalarField=files(spark, d)["a.vol"], nBinStart="256", nIter="6", nPart="2")
     return rounded(drivers.run(spark, args, "crossvalidate"), "score", digits=9)

@@ -74,20 +74,20 @@ def test_local_entropies(spark, sf, whole):
 def test_tables_over_the_grid(spark, sf, whole):
     f, cid, ids = whole
     run = lambda name: registry.QUERIES[name](spark, sf).toPandas()
-    box = run("t1_bounding_boxes_grid").set_index("cid").loc[cid]
+    box = run("t1_bounding_boxes").set_index("cid").loc[cid]
     assert np.array_equal(box[["lx", "ly", "lz"]], at(ids).min(1)) and np.array_equal(box[["hx", "hy", "hz"]], at(ids).max(1))
-    assert np.array_equal(run("t6_sorted_values_grid").set_index("cid").loc[cid].to_numpy(), np.sort(f[ids], 1))
-    assert set(map(tuple, run("t5_vertex_cells_grid")[["vid", "cid"]].to_numpy())) == {(v, c) for c, t in zip(cid, ids) for v in t}
+    assert np.array_equal(run("t6_sorted_values").set_index("cid").loc[cid].to_numpy(), np.sort(f[ids], 1))
+    assert set(map(tuple, run("t5_vertex_cells")[["vid", "cid"]].to_numpy())) == {(v, c) for c, t in zip(cid, ids) for v in t}
     faces = {}
     for c, t in zip(cid, ids):
         for three in itertools.combinations(sorted(t), 3):
             faces.setdefault(three, []).append(c)
-    assert set(map(tuple, run("t5_face_neighbours_grid").to_numpy())) == {p for s in faces.values() for p in itertools.permutations(s, 2)}
-    assert run("t8_t9_volume_histogram_total_grid").total[0] == pytest.approx(len(cid) / 6)
+    assert set(map(tuple, run("t5_face_neighbours").to_numpy())) == {p for s in faces.values() for p in itertools.permutations(s, 2)}
+    assert run("t8_t9_volume_histogram_total").total[0] == pytest.approx(len(cid) / 6)
     assert sorted(run("t7_cross_sections").cid) == sorted(cid)
-    text = run("io9_mesh_text_grid").set_index("vid").loc[range(len(f))]
+    text = run("io9_mesh_text").set_index("vid").loc[range(len(f))]
     assert np.array_equal(text[["x", "y", "z"]], at(np.arange(len(f)))) and np.array_equal(text.f, f) and set(text.cells) == {len(cid)}
-    rel = run("t4_box_relation_grid")
+    rel = run("t4_box_relation")
     low, high = at(ids).min(1), at(ids).max(1)
     for vid in (0, 437, len(f) - 1):
         near = (low < at(np.array(vid)) + 1.2).all(1) & (high > at(np.array(vid)) - 1.2).all(1)

@@ -37,13 +37,26 @@ def test_local_entropy_equals_brute_force(spark, mode, r):
         assert len(got) == a.size and all(abs(got[k] - want[k]) < 1e-6 for k in np.ndindex(a.shape))
 
 
-def test_both_stencil_ways_agree(spark, monkeypatch):
+def test_both_stencil_ways_agree(spark):
     a = np.random.default_rng(2).integers(0, 4, (6, 6, 6))
     df, g = cells(spark, a)
     one = {r.cell_id: r.entropy for r in stencil.local_entropy(df, g, 1, 4, normalize=True).collect()}
-    monkeypatch.setattr(stencil, "SMALL", 0)
-    two = {r.cell_id: r.entropy for r in stencil.local_entropy(df, g, 1, 4, normalize=True, block=4).collect()}
-    assert all(abs(one[k] - two[k]) < 1e-6 for k in one)
+    local = df.select("x", "y", "z", "bin")
+    two = {(r.z * 6 + r.y) * 6 + r.x: r.entropy for r in stencil.exploded(local, g, (1, 1, 1), 27, 4, True, "mirror").collect()}
+    assert len(one) == len(two) == 216 and all(abs(one[k] - two[k]) < 1e-6 for k in one)
+
+
+@pytest.mark.parametrize("r", [(1, 1, 1), (0, 2, 1)])
+def test_many_bins_are_sorted(spark, r, monkeypatch):
+    """More bins than a box has cells: the sorted way, in pieces, equals running sums and brute force."""
+    monkeypatch.setattr(stencil, "SORTED", 100)
+    a = np.random.default_rng(3).integers(0, 400, (7, 8, 9)) // 5
+    df, g = cells(spark, a)
+    want = brute_local(a, r, "mirror")
+    got = {(q.z, q.y, q.x): q.entropy for q in stencil.local_entropy(df, g, r, 80).collect()}
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in np.ndindex(a.shape))
+    size = (2 * r[0] + 1) * (2 * r[1] + 1) * (2 * r[2] + 1)
+    assert np.allclose(stencil.sorted_entropy(a, r, 80, True), stencil.box_entropy(a, r, 80, True), atol=1e-6) and size < 80
 
 
 def test_axis_too_short(spark):
@@ -86,8 +99,8 @@ def test_kernel_density_integrates_to_one(spark):
 
 def test_kde_entropy_cells(spark):
     df = spark.createDataFrame([(float(x),) for x in np.random.default_rng(1).normal(0, 1, 1500)], "v double")
-    a, b = [density.kde_entropy(df, "v", "silverman", cells=k).first().entropy for k in (4096, 256)]
-    assert a == pytest.approx(b, abs=0.01) and a <= math.log2(1500) + 1e-9
+    a, b = [f(df, "v", "silverman").first().entropy for f in (density.kde_entropy, density.kde_entropy_binned)]
+    assert a == pytest.approx(b, abs=1e-4) and a <= math.log2(1500) + 1e-9
 
 
 # ---------------------------------------------------------------- trees
