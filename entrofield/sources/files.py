@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +12,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 
 _own: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -25,11 +29,27 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """URI of a new folder below spark.checkpoint.dir, which driver and executors share; below a temporary one of the application where that is unset."""
+    """URI of a new folder below spark.checkpoint.dir, which driver and executors share. Where that is unset, a temporary folder stands in for it in local mode only: on a cluster every
+    executor would have its own. Results are read from these folders later on, so they stay until release().
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master is {master})")
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="entrofield-")
+            atexit.register(shutil.rmtree, _own[app].removeprefix("file://"), ignore_errors=True)
         base = _own[app]
-    return f"{qualified(spark, base).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    made = f"{qualified(spark, base).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(made)
+    return made
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the folders that shared_dir() has named in this application, with Spark's own file system; their number. DataFrames that read from them can't be used any more."""
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    for uri in made:
+        p = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(made)

@@ -111,3 +111,18 @@ def test_step_over_several_batches(spark, tmp_path):
     spark.createDataFrame([(0, 0, float(v)) for v in range(4, 8)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     start()
     assert {(r.time_step, r.block_id): round(r.entropy, 6) for r in streaming.latest_steps(spark, str(tmp_path / "out")).collect()} == {(0, 0): 3.0, (1, 0): 1.0}
+
+
+def test_shared_folders(spark, tmp_path):
+    """Folders are released with what is in them; without spark.checkpoint.dir only local mode has a stand-in."""
+    from types import SimpleNamespace
+
+    from entrofield.sources import files
+
+    app = SimpleNamespace(applicationId="other", master="spark://host:7077", _jsc=spark.sparkContext._jsc)
+    with pytest.raises(RuntimeError):
+        files.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=app), "x")
+    app = SimpleNamespace(applicationId="third", master="local[2]", _jsc=spark.sparkContext._jsc)
+    one = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: f"file://{tmp_path}"), sparkContext=app, _jvm=spark._jvm)
+    spark.range(3).write.parquet(files.shared_dir(one, "x"))
+    assert len(list(tmp_path.iterdir())) == 1 and files.release(one) == 1 and not list(tmp_path.iterdir()) and files.release(one) == 0
