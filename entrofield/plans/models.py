@@ -105,6 +105,17 @@ def io1(spark, d):
     return back.select("cell_id", "x", "y", "z", F.round(F.col("value").cast("double"), 3).alias("value"))
 
 
+@query("io6_io7_parallel_write", f"WITH {CELLS} SELECT cell_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS INTEGER) AS z, value FROM cells")
+def io6(spark, d):
+    """Slabs written and kept by the executors, read back by blocks that cross them."""
+    from ..sources.raster import read_raster, write_raster
+
+    df, g = event_grid(spark, d)
+    path = shared_dir(spark, "raster") + "/field.slabs"
+    write_raster(df.select("cell_id", "value"), path, g.dims, dtype="f8", slabs=True, cells_per_slab=-(-g.size // 7))
+    return read_raster(spark, path, dtype="f8", blocks="2,2,3").select("cell_id", "x", "y", "z", "value")
+
+
 @query("io5_raster_ghost_blocks", f"WITH {CELLS}, bb AS (SELECT ix, iy FROM (SELECT unnest(range(2)) AS ix), (SELECT unnest(range(2)) AS iy)) SELECT CAST(iy * 2 + ix AS INTEGER) AS block_id, count(*) AS n, CAST(sum((x // 5 <> ix OR y // 5 <> iy)::INT) AS BIGINT) AS ghosts FROM bb JOIN cells ON x BETWEEN ix * 5 - 1 AND ix * 5 + 5 AND y BETWEEN iy * 5 - 2 AND iy * 5 + 6 GROUP BY ix, iy")
 def io5(spark, d):
     from ..sources.raster import read_raster, write_raster

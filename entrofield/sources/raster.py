@@ -2,19 +2,23 @@
 
 Reading (format `rasterfield`) plans one task per block of the grid and reads only that block's rows of cells, with ghost layers if wanted. Options: path; header (true), or dims = nx,ny,nz without one; ndim of the
 header (3); components (1 or 3); dtype (f4, f8, i4, i8); endian (little, big); blocks = bx,by,bz; split (ceil, floor); ghost = gx,gy,gz.
-Writing deals cells by range, writes sorted slabs on the executors and joins them on the driver as streams.
+Writing deals cells by range and writes sorted slabs on the executors. For one file the driver joins them as streams; with slabs=True they stay: the path is then a folder of slabs with
+an index, written last, which reading takes like a file, and no byte of a cell passes the driver.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +27,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .files import filesystem
 
 
+INDEX = "index.json"
+
+
 def triple(text: str) -> tuple[int, int, int]:
     parts = [int(x) for x in str(text).split(",")]
     return tuple((parts + [parts[0]] * 3)[:3] if len(parts) == 1 else (parts + [1] * 3)[:3])
@@ -44,6 +51,41 @@ class Block(InputPartition):
         self.block_id, self.bounds = block_id, bounds
 
 
+class Slabs:
+    """The values of a folder of slabs, read like one file without a header. The index has the dimensions and, in order, each slab's first byte and name."""
+
+    def __init__(self, fs, path: str):
+        self.fs, self.path = fs, path
+        with fs.open_input_stream(f"{path}/{INDEX}") as f:
+            index = json.loads(f.read())
+        self.dims, self.starts, self.names, self.opened = tuple(index["dims"]), index["starts"], index["names"], (-1, None)
+
+    def __enter__(self) -> Slabs:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.opened[1]:
+            self.opened[1].close()
+
+    def read_at(self, n: int, offset: int) -> bytes:
+        parts = []
+        while n > 0:
+            k = bisect_right(self.starts, offset) - 1
+            if self.opened[0] != k:
+                self.__exit__()
+                self.opened = k, self.fs.open_input_file(f"{self.path}/{self.names[k]}")
+            parts.append(self.opened[1].read_at(n, offset - self.starts[k]))
+            if not parts[-1]:
+                raise ValueError(f"slab {self.names[k]} is too short")
+            n, offset = n - len(parts[-1]), offset + len(parts[-1])
+        return b"".join(parts)
+
+
+def opened(fs, path: str):
+    """A raster file or folder of slabs, open for read_at()."""
+    return Slabs(fs, path) if fs.get_file_info(path).type == pafs.FileType.Directory else fs.open_input_file(path)
+
+
 class RasterReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -59,11 +101,14 @@ class RasterReader(DataSourceReader):
         return 4 * self.ndim if self.header else 0
 
     def shape(self) -> tuple[int, int, int]:
+        fs, path = filesystem(self.path)
+        if fs.get_file_info(path).type == pafs.FileType.Directory:
+            self.header = False
+            return Slabs(fs, path).dims
         if not self.header:
             if self.dims is None:
                 raise ValueError("a raster without a header needs dims")
             return self.dims
-        fs, path = filesystem(self.path)
         with fs.open_input_file(path) as f:
             dims = np.frombuffer(f.read_at(4 * self.ndim, 0), self.order + "i4").tolist()
         return tuple((dims + [1, 1])[:3])
@@ -78,7 +123,7 @@ class RasterReader(DataSourceReader):
         (x0, x1, px0, px1), (y0, y1, py0, py1), (z0, z1, pz0, pz1) = part.bounds
         fs, path = filesystem(self.path)
         item, width = self.dtype.itemsize * self.components, px1 - px0 + 1
-        with fs.open_input_file(path) as f:
+        with opened(fs, path) as f:
             for z in range(pz0, pz1 + 1):  # a slab at a time
                 rows = []
                 if width == nx:  # whole rows lie side by side
@@ -130,13 +175,13 @@ def _slab(batches: Iterator[pd.DataFrame], root: str, dtype: str, components: in
     yield pd.DataFrame({"first": [first], "n": [n], "name": [name]}).astype({"first": "Int64"})
 
 
-def write_raster(df: DataFrame, path: str, dims: tuple[int, int, int], components: int = 1, dtype: str = "f4", header: bool = True, endian: str = "little", cells_per_slab: int = 4_000_000) -> None:
-    """Writes cell_id, value of a dense grid as one file; `value` is a number, or a struct x, y, z. A grid with missing or repeated cells is refused."""
+def write_raster(df: DataFrame, path: str, dims: tuple[int, int, int], components: int = 1, dtype: str = "f4", header: bool = True, endian: str = "little", cells_per_slab: int = 4_000_000, slabs: bool = False) -> None:
+    """Writes cell_id, value of a dense grid as one file, or as a folder of slabs; `value` is a number, or a struct x, y, z. A grid with missing or repeated cells is refused."""
     order, size = (">" if endian == "big" else "<"), math.prod(dims)
-    work = f"{path}.slabs-{uuid.uuid4().hex[:8]}"
-    slabs = df.select("cell_id", "value").repartitionByRange(max(1, -(-size // cells_per_slab)), "cell_id").sortWithinPartitions("cell_id")
+    work = path if slabs else f"{path}.slabs-{uuid.uuid4().hex[:8]}"
+    runs = df.select("cell_id", "value").repartitionByRange(max(1, -(-size // cells_per_slab)), "cell_id").sortWithinPartitions("cell_id")
     kind = order + dtype
-    rows = slabs.mapInPandas(lambda it: _slab(it, work, kind, components), "first long, n long, name string").where("n > 0").collect()
+    rows = runs.mapInPandas(lambda it: _slab(it, work, kind, components), "first long, n long, name string").where("n > 0").collect()
     fs, out_path = filesystem(path)
     _, work_path = filesystem(work)
     try:
@@ -147,6 +192,11 @@ def write_raster(df: DataFrame, path: str, dims: tuple[int, int, int], component
             at += r["n"]
         if at != size:
             raise ValueError(f"{at} cells for a grid of {size}")
+        if slabs:
+            width, ordered = np.dtype(kind).itemsize * components, sorted(rows, key=lambda r: r["first"])
+            with fs.open_output_stream(f"{out_path}/{INDEX}") as out:
+                out.write(json.dumps({"dims": list(dims), "starts": [r["first"] * width for r in ordered], "names": [r["name"] for r in ordered]}).encode())
+            return
         with fs.open_output_stream(out_path) as out:
             if header:
                 out.write(np.array(dims, order + "i4").tobytes())
@@ -155,7 +205,8 @@ def write_raster(df: DataFrame, path: str, dims: tuple[int, int, int], component
                     while data := f.read(1 << 24):
                         out.write(data)
     finally:
-        fs.delete_dir(work_path)
+        if not slabs:
+            fs.delete_dir(work_path)
 
 
 def strip_header(source: str, target: str, ndim: int = 3) -> None:
