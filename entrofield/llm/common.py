@@ -11,10 +11,11 @@ from pyspark.sql.column import Column
 
 from ..sources.files import filesystem, shared_dir
 
-__all__ = ["filesystem", "key_hash", "map_whole", "shared_dir", "slices", "stored", "table", "word_count"]
+__all__ = ["bounded_batches", "filesystem", "key_hash", "map_whole", "shared_dir", "slices", "stored", "table", "word_count"]
 
 #: Words are maximal runs of anything but ASCII blanks; bytes.split() cuts at exactly these six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +34,26 @@ def map_whole(df: DataFrame, f) -> DataFrame:
     return plain.mapInArrow(f, plain.schema).toDF(*df.columns)
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that Python objects of few rows exist at a time."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that Python objects of few rows, and of few bytes unless one row has more, exist at a time."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        todo = [b.slice(i, rows) for i in range(0, b.num_rows, rows)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limits the Arrow batches that go to Python to BATCH_BYTES, unless the session has a limit of its own: the default would let one batch of long texts take 64 MB in the JVM and again in
+    each worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(spark.conf.get(key)).rstrip("bB") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def word_count(text: Column) -> Column:

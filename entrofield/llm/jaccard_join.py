@@ -9,8 +9,15 @@ Two documents link when their shingle sets have Jaccard similarity of at least 3
 3. Stars. In each list the most central set of a size range (whose prefix has the highest counts) is the hub; the others are compared with it only. A pair must share
    so many prefix shingles that the overlap 3/7 (n + m) can still be reached (the shingles outside the shorter prefix are all that can come on top).
 4. Verification on whole sets, then components by minimum labels with pointer jumping.
-5. Rest. Only pairs in a list that are still in different components are left: the members outside a list's largest component are compared with all others of the list, where
-   the shingle is among the first n - ceil(6n/7) + 1 of the smaller set (which suffice against larger sets). They are filtered and verified the same way. So a list of many near copies costs its length, not its square, and no link between components is lost.
+5. Rest. Only pairs in a list that are still in different components are left. In a list with at most FEW sets outside its largest component, these are compared with all others of the
+   list, where the shingle is among the first n - ceil(6n/7) + 1 of the smaller set (which suffice against larger sets); they are filtered and verified the same way.
+6. Differences. In the other lists nobody is compared with everybody, but all with one pivot p. The symmetric difference is a metric and a link means |x ^ y| <= (n + m) / 7, so if x isn't
+   linked to p and has the difference a = |x ^ p|, y has b, then a link of x and y needs (a + b - (n + m) / 7) / 2 common elements of the two differences: more than 3b/7, and more than none.
+   So a prefix join of the differences finds it: their first elements in the sketch's order name new lists, and a pair is formed where enough elements are left in both from there on.
+   Entries that no partner in their list can meet go first. What many near copies have in common so drops out, only edits that some of them share are compared, and no link between
+   components is lost.
+
+A link is decided on sets of 64-bit hashes, classes are 64-bit digests: two different ones agree with probability 2**-64.
 
 Null and empty texts, and texts of blanks, have an empty set and link with nothing. A text with fewer than five words is one shingle. Rows with a null id take
 part; a component's id is the smallest non-null id in it (null if there is none). Repeated rows give repeated results. An empty table gives no rows. Other columns are ignored.
@@ -26,18 +33,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import shared_dir, slices, stored
-from .shingles import digest, shingles
+from .common import bounded_batches, shared_dir, slices, stored
+from .shingles import digest, mix, shingles
 
 SKETCH = 1 << 20
 CHUNKS = 256
 #: A shingle counts as very frequent from this count, plus four times the sketch's mean.
 FREQUENT = 10_000
+#: Sets outside a list's largest component that are compared with the whole list; where there are more, a pivot takes their place.
+FEW = 32
+#: Prefix shingles of a bucket, on average.
+BUCKET = 1 << 19
 #: Classes whose texts are fetched by broadcasting their ids (16 bytes each); more are fetched by a shuffle join.
 BROADCAST_IDS = 2_000_000
 SCAN = "doc_id long, n int, class long, chunk int, counts binary"
 BLOB = "bucket int, blob binary"
+DIFFERENCE = "list long, class long, pivot long, n int, a int, rem int, far boolean"
 ENTRY = "list long, grp long, n int, prio int, core boolean, class long"
 
 
@@ -131,11 +144,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch], sketch, n_buckets: int) -> Iter
             at = bucket[pick] if not direct else (ids[owner[pick]].view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             pick, at = pick[order], at[order]
-            edge = np.searchsorted(at, np.arange(n_buckets + 1))
             m_order = np.argsort(mb, kind="stable") if not direct else np.zeros(0, np.int64)
-            m_edge = np.searchsorted(mb[m_order], np.arange(n_buckets + 1))
-            for k in range(n_buckets):
-                part, m = pick[edge[k] : edge[k + 1]], m_order[m_edge[k] : m_edge[k + 1]]
+            m_at = mb[m_order]
+            used_buckets = np.union1d(at, m_at)
+            edge, m_edge = (np.stack([np.searchsorted(v, used_buckets, side) for side in ("left", "right")], 1).tolist() for v in (at, m_at))
+            for k, (lo, hi), (m_lo, m_hi) in zip(used_buckets.tolist(), edge, m_edge):
+                part, m = pick[lo:hi], m_order[m_lo:m_hi]
                 if len(part) or len(m):
                     used, own = np.unique(owner[part], return_inverse=True)
                     # a direct blob's lists are named by their own buckets
@@ -165,7 +179,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], sketch, n_buckets: int) -> Iter
                 central = np.log2(1.0 + counts[(first & np.uint64(SKETCH - 1)).astype(np.int64)]).mean()
                 groups[g] = n, 65535 - min(65535, int(central * 1500)), first
                 held += len(first)
-        if held > 1_000_000 or len(members) > 200_000:
+        if held > 500_000 or len(members) > 100_000:
             yield from flush()
             held = 0
     yield from flush()
@@ -216,44 +230,80 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """class and its sorted shingles, cut to their low 40 bits (two different ones of a pair of sets then agree with probability under 1e-6)."""
+    """class and its sorted shingles."""
     for b in slices(batches):
         sets = [shingles(t) for t in b.column(0).to_pylist()]
-        low = [np.sort(s & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array([digest(s.tobytes()) for s in sets], pa.int64()), pa.array(low, pa.binary())], names=["class", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array([digest(s.tobytes()) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["class", "shingles"])
 
 
-def _wide(data: bytes) -> np.ndarray:
-    x = np.zeros((len(data) // 5, 8), np.uint8)
-    x[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return x.view("<u8")[:, 0]
+def linked(n: int, m: int, common: int) -> bool:
+    return 100 * common >= 75 * (n + m - common)
 
 
-def linked(x: bytes, y: bytes) -> bool:
-    a, b = _wide(x), _wide(y)
-    both = np.concatenate([a, b])
+def merged(x: bytes, y: bytes) -> np.ndarray:
+    """Elements of two sets in order; common ones occur twice."""
+    both = np.concatenate([np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")])
     both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= 75 * (len(a) + len(b) - common)
+    return both
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        ok = [linked(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        ok = []
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            both = merged(x, y)
+            ok.append(linked(len(x) // 8, len(y) // 8, int((both[1:] == both[:-1]).sum())))
         yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, path: str) -> DataFrame:
-    """Pairs (a, b) of classes that link. Texts are read again for the classes in question only, one document of each. The sets are written once, so that both joins read plain
-    rows and Spark can split those of a frequent hub.
+def first_differences(n: int, m: int, common: int) -> tuple[bool, int]:
+    """Whether a set of n elements is linked to its pivot of m, and how many first elements of their difference suffice for a join (see 6. above)."""
+    a = n + m - 2 * common
+    if linked(n, m, common):
+        return True, a - 3 * a // 7
+    return False, a - max(1, -(-(7 * a - n - m) // 14)) + 1
+
+
+def _differences(batches: Iterator[pa.RecordBatch], sketch) -> Iterator[pa.RecordBatch]:
+    """For pairs (class, pivot): a row without a list if they link; and a row for each of the first elements of their difference."""
+    counts, kinds = sketch.value, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+    names = [c.split()[0] for c in DIFFERENCE.split(", ")]
+    for b in slices(batches):
+        parts: list[list] = []
+        for c, p, x, y in zip(*[b.column(i).to_pylist() for i in range(4)]):
+            n, m, both = len(x) // 8, len(y) // 8, merged(x, y)
+            twice = both[1:] == both[:-1]
+            link, first = first_differences(n, m, int(twice.sum()))
+            alone = np.ones(len(both), bool)
+            alone[1:] &= ~twice
+            alone[:-1] &= ~twice
+            diff = both[alone]
+            a = len(diff)
+            diff = diff[np.lexsort((diff, counts[(diff & np.uint64(SKETCH - 1)).astype(np.int64)]))][:first]
+            name = mix(diff ^ mix(np.array([p], np.int64).view(np.uint64))).view(np.int64)
+            name, rem, none = (np.insert(name, 0, 0), np.insert(a - np.arange(len(name)), 0, 0), [True]) if link else (name, a - np.arange(len(name)), [])
+            k = len(name)
+            parts.append([name, np.full(k, c), np.full(k, p), np.full(k, n), np.full(k, a), rem, np.full(k, not link), np.array(none + [False] * (k - len(none)), bool)])
+        if parts:
+            *cols, none = [np.concatenate(v) for v in zip(*parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], kinds[0], mask=none), *[pa.array(v, t) for v, t in zip(cols[1:], kinds[1:])]], names=names)
+
+
+def with_sets(pairs: DataFrame, docs: DataFrame, reps: DataFrame, path: str) -> DataFrame:
+    """pairs (a, b, ...) of classes with their sets x and y. Texts are read again for the classes in question only, one document of each. The sets are written once, so that both joins read
+    plain rows and Spark can split those of a frequent hub.
     """
-    need = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps, "class").select(F.col("doc_id").alias("rep"))
+    need = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps, "class").select(F.col("doc_id").alias("rep")).distinct()
     if need.count() <= BROADCAST_IDS:
         need = F.broadcast(need)
     texts = docs.join(need, docs["doc_id"].eqNullSafe(need["rep"]), "left_semi").select("text")
     sets = stored(texts.mapInArrow(_sets, "class long, shingles binary").dropDuplicates(["class"]), path)
-    got = pairs.join(sets.withColumnsRenamed({"class": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"class": "b", "shingles": "y"}), "b")
-    return got.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+    return pairs.join(sets.withColumnsRenamed({"class": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"class": "b", "shingles": "y"}), "b")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, path: str) -> DataFrame:
+    """Pairs (a, b) of classes that link."""
+    return with_sets(pairs, docs, reps, path).select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
 
 def enough(n: str, m: str, core: bool = False) -> F.Column:
@@ -273,20 +323,26 @@ def similar_size(n: str, m: str) -> F.Column:
 # ---------------------------------------------------------------- components
 
 
-def components(spark: SparkSession, edges: DataFrame, root: str) -> DataFrame:
-    """node, comp: smallest node of its component, for every node with an edge. Each round takes the least label around, then jumps to that label's label."""
+def components(spark: SparkSession, edges: DataFrame, reps: DataFrame, root: str) -> DataFrame:
+    """node and label of every node with an edge; the label is that of the component's first class: (no id, doc_id, class), smallest id first, null last.
+
+    Each round takes the least label around, then jumps to that label's label. Only labels that have moved on themselves can be jumped from: so few that they are
+    sent to all tasks, where they aren't, they are joined.
+    """
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{root}/edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), f"{root}/labels-0")
+    own = both.select(F.col("a").alias("node")).distinct().join(reps.withColumnRenamed("class", "node"), "node").select("node", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("node").alias("class")).alias("label"))
+    labels = stored(own, f"{root}/labels-0")
     for i in range(1, 200):
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        least = labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-        step = least.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("to", "comp")).alias("comp"), "was")
-        labels = stored(step, f"{root}/labels-{i}")
-        changed = labels.where("comp <> was").limit(1).count()
-        labels = labels.select("node", "comp")
-        if not changed:
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        least = stored(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")), f"{root}/least-{i}")
+        if not least.where("label <> was").limit(1).count():
             return labels
+        roots = least.select(F.col("label.class").alias("node")).distinct()
+        moved = least.join(roots, "node").where("label.class <> node").select(F.col("node").alias("of"), F.col("label").alias("to"))
+        if moved.count() <= BROADCAST_IDS:
+            moved = F.broadcast(moved)
+        step = least.join(moved, F.col("label.class") == F.col("of"), "left").select("node", F.coalesce("to", "label").alias("label"))
+        labels = stored(step, f"{root}/labels-{i}")
     raise RuntimeError("components did not settle")
 
 
@@ -302,36 +358,62 @@ def star_pairs(entries: DataFrame) -> DataFrame:
     return pairs.select(*[F.when(first, x).otherwise(y).alias(k) for k, x, y in (("a", F.col("class"), F.col("hub.class")), ("b", F.col("hub.class"), F.col("class")), ("n", F.col("n"), F.col("hub.n")), ("m", F.col("hub.n"), F.col("n")))], "weight")
 
 
-def cross_pairs(entries: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of a list in different components: those outside its largest component with all others; a < b."""
-    e = entries.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    sizes = e.groupBy("list", "comp").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("list").agg(F.max(F.struct("k", "comp"))["comp"].alias("big"), F.count("*").alias("kinds")).where("kinds > 1")
-    e = e.join(mixed.select("list", "big"), "list")
+def mixed_lists(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """Entries of lists of more than one component, with their component, the list's largest, how many are outside it and the list's pivot: its most central class (the smallest, if the
+    entries don't tell).
+    """
+    central = F.struct("prio", "class") if "prio" in entries.columns else F.struct("class")
+    e = entries.join(comps.select(F.col("node").alias("class"), F.col("label.class").alias("comp")), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    sizes = e.groupBy("list", "comp").agg(F.count("*").alias("k"), F.min(central).alias("centre"))
+    mixed = sizes.groupBy("list").agg(F.max(F.struct("k", "comp"))["comp"].alias("big"), (F.sum("k") - F.max("k")).alias("outside"), F.min("centre")["class"].alias("pivot"), F.count("*").alias("kinds")).where("kinds > 1")
+    return e.join(mixed.drop("kinds"), "list")
+
+
+def crossed(e: DataFrame) -> DataFrame:
+    """x and y of a list in different components: those outside its largest component with all others."""
     x, y = e.where("comp <> big").alias("x"), e.alias("y")
-    pairs = x.join(y, F.col("x.list") == F.col("y.list")).where("x.comp <> y.comp and (y.comp = y.big or x.class < y.class) and (x.grp <> y.grp or x.weight > 1)")
+    pairs = x.join(y, F.col("x.list") == F.col("y.list")).where("x.comp <> y.comp and (y.comp = y.big or x.class < y.class)")
+    return pairs.where(similar_size("x.n", "y.n"))
+
+
+def cross_pairs(e: DataFrame) -> DataFrame:
+    """Pairs of prefix lists; a < b."""
     # a pair shares a shingle of the smaller set's core and the larger one's prefix, of both cores if they are equal in size
-    pairs = pairs.where(similar_size("x.n", "y.n") & F.expr("(x.core or x.n > y.n) and (y.core or y.n > x.n)"))
+    pairs = crossed(e).where(F.expr("(x.core or x.n > y.n) and (y.core or y.n > x.n) and (x.grp <> y.grp or x.weight > 1)"))
     first = F.col("x.class") < F.col("y.class")
     return pairs.select(*[F.when(first, F.col(p)).otherwise(F.col(q)).alias(k) for k, p, q in (("a", "x.class", "y.class"), ("b", "y.class", "x.class"), ("n", "x.n", "y.n"), ("m", "y.n", "x.n"))], F.col("x.weight").alias("weight"))
 
 
+def alive(differ: DataFrame) -> DataFrame:
+    """Entries from which on enough elements are left for a pair with the nearest, largest set that their list could have."""
+    least = differ.groupBy("list").agg(F.min("a").alias("nearest"), F.max("n").alias("largest"))
+    enough_left = F.expr("14 * rem >= 7 * (a + nearest) - n - least(largest, (4 * n) div 3)")
+    return differ.join(least, "list").where(enough_left).select(differ.columns)
+
+
+def difference_pairs(e: DataFrame) -> DataFrame:
+    """Pairs of lists of differences, at the first common element of which enough can follow; a < b."""
+    pairs = crossed(e).where(F.expr("(x.far or y.far) and 14 * least(x.rem, y.rem) >= 7 * (x.a + y.a) - x.n - y.n"))
+    return pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+
+
 def likely(pairs: DataFrame, core: bool = False) -> DataFrame:
     """Pairs with enough common prefix shingles; with core, those were counted in the smaller set's core only."""
     return pairs.groupBy("a", "b", "n", "m").agg(F.sum("weight").alias("common")).where(similar_size("n", "m") & (F.col("common") >= enough("n", "m", core))).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (documents with equal sets), component_id of every row."""
+def resolve(docs: DataFrame) -> DataFrame:
+    """doc_id, n (shingles), class (documents with equal sets) and label (of the component, see components()) of every row; class and label are null where n is 0."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     root = shared_dir(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scan = stored(docs.mapInArrow(_scan, SCAN), f"{root}/scan")
     sketch = spark.sparkContext.broadcast(sketch_of(scan))
     rows = scan.where("n is not null").select("doc_id", "n", "class")
-    n_docs = rows.count()
-    n_buckets = min(1 << 17, max(12, n_docs // 8192))
-    parts = max(n_buckets, spark.sparkContext.defaultParallelism)
+    n_tokens = rows.agg(F.sum(F.expr("n - (3 * n + 3) div 4 + 1"))).first()[0] or 0
+    n_buckets = max(12, n_tokens // BUCKET)
+    parts = max(min(n_buckets, 50_000), spark.sparkContext.defaultParallelism)  # a task takes its buckets one after another
     blobs = docs.select("text").mapInArrow(lambda it: _prefixes(it, sketch, n_buckets), BLOB)
     found = stored(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, ENTRY), f"{root}/lists")
     members = found.where("class is not null").select("grp", "class").distinct()
@@ -342,28 +424,75 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     size = rows.where("n > 0").groupBy("class").agg(F.max("n").alias("n"))
     inner = members.join(crowds, "grp").join(size, "class").select(F.xxhash64("grp", F.lit("group")).alias("list"), "grp", "n", F.lit(0).alias("prio"), F.lit(True).alias("core"), "class", F.greatest(F.lit(2), F.expr("n - (3 * n + 3) div 4 + 1")).alias("weight"))
     entries = stored(shared.select(inner.columns).unionByName(inner), f"{root}/entries")
-    reps = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    reps = stored(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), f"{root}/reps")
+
+    def joined(edges: DataFrame, more: DataFrame, comps: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+        if not more.limit(1).count():
+            return edges, comps
+        edges = edges.unionByName(more)
+        return edges, components(spark, edges, reps, path)
 
     tried = stored(likely(star_pairs(entries)), f"{root}/stars")
     edges = stored(verify(tried, docs, reps, f"{root}/star-sets"), f"{root}/star-links")
-    comps = components(spark, edges, f"{root}/first")
-    rest = stored(likely(cross_pairs(entries, comps), core=True).join(tried, ["a", "b"], "left_anti"), f"{root}/rest")
+    comps = components(spark, edges, reps, f"{root}/first")
+
+    lists = stored(mixed_lists(entries, comps), f"{root}/mixed")
+    short, long = lists.where(F.col("outside") <= FEW), lists.where(F.col("outside") > FEW)
+    rest = stored(likely(cross_pairs(short), core=True).join(tried, ["a", "b"], "left_anti"), f"{root}/rest")
     more = stored(verify(rest, docs, reps, f"{root}/rest-sets"), f"{root}/rest-links")
-    if more.limit(1).count():
-        comps = components(spark, edges.unionByName(more), f"{root}/second")
+    tried = tried.unionByName(rest)
+    against = stored(long.where("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct(), f"{root}/against")
+    differ = with_sets(against, docs, reps, f"{root}/pivot-sets").select("a", "b", "x", "y").mapInArrow(lambda it: _differences(it, sketch), DIFFERENCE)
+    differ = stored(differ, f"{root}/differences")
+    more = more.unionByName(differ.where("list is null").select(F.col("class").alias("a"), F.col("pivot").alias("b")))
+    edges, comps = joined(edges, more, comps, f"{root}/second")
 
-    named = reps.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "comp").select("class", "component_id")
-    full = rows.where("n > 0").join(named, "class")
-    out = ["doc_id", F.col("n").cast("long").alias("n_shingles"), "class", "component_id"]
-    return full.select(*out).unionByName(rows.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("component_id")))
+    left = stored(difference_pairs(mixed_lists(alive(differ.where("list is not null")), comps)).join(tried, ["a", "b"], "left_anti"), f"{root}/left")
+    last = stored(verify(left, docs, reps, f"{root}/left-sets"), f"{root}/left-links")
+    _, comps = joined(edges, last, comps, f"{root}/third")
+
+    named = reps.join(comps.withColumnRenamed("node", "class"), "class", "left")
+    named = named.select("class", F.coalesce("label", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "class")).alias("label"))
+    full = rows.where("n > 0").join(named, "class").select("doc_id", "n", "class", "label")
+    return full.unionByName(rows.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("class"), F.lit(None).cast(full.schema["label"].dataType).alias("label")))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class (documents with equal sets), component_id of every row."""
+    own = F.when(F.col("n") > 0, F.col("label.doc_id")).otherwise(F.col("doc_id"))
+    return resolve(docs).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class", own.alias("component_id"))
+
+
+def _with_class(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        sets = [shingles(t) for t in b.column(at).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest(s.tobytes()) if len(s) else None for s in sets], pa.int64())], names=names)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that with the smallest id. Documents that share an id stay or go together; those with a null id stay only where no other is in the component."""
-    found = jaccard_components(docs)
-    keys = docs.columns
-    drop = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_gone")).distinct()
-    d = docs.alias("d")
-    return d.join(drop, F.col("d.doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*[F.col(f"d.`{c}`") for c in keys])
+    """docs with one row of each component: that with the smallest id (null last), of these that with the smallest class; one of rows that agree in both. Rows without words all stay.
+
+    Where an id has one row, it is enough to know which ids go. Rows that share an id, and those without one, are told apart by their texts, which are read once more for them.
+    """
+    bounded_batches(docs.sparkSession)
+    path, names = shared_dir(docs.sparkSession, "kept"), docs.columns
+    found = stored(resolve(docs).select("doc_id", "class", "label"), path)
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("k"), F.first("class").alias("class"), F.first("label").alias("label"))
+    single = F.col("k").eqNullSafe(1) & F.col("doc_id").isNotNull()
+    gone = ids.where(single & (F.expr("class is not null and (class <> label.class or doc_id <> label.doc_id)"))).select(F.col("doc_id").alias("_id"))
+    shared = ids.where(~single).select(F.col("doc_id").alias("_id"))
+    if ids.where("k > 1 or doc_id is null or doc_id <> label.doc_id").count() <= BROADCAST_IDS:  # bounds both tables
+        gone, shared = F.broadcast(gone), F.broadcast(shared)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key = F.col(f"c{names.index('doc_id')}").cast("long")
+    clear = plain.join(gone, key.eqNullSafe(F.col("_id")), "left_anti").join(shared, key.eqNullSafe(F.col("_id")), "left_anti")
+    if not shared.limit(1).count():
+        return clear.toDF(*names)
+    at, classed = names.index("text"), [*plain.columns, "class"]
+    schema = T.StructType([*plain.schema.fields, T.StructField("class", T.LongType())])
+    rows = plain.join(shared, key.eqNullSafe(F.col("_id")), "left_semi").mapInArrow(lambda it: _with_class(it, at, classed), schema)
+    least = found.where("class = label.class and doc_id <=> label.doc_id").select(F.col("doc_id").alias("_id"), F.col("class").alias("_class")).distinct()
+    kept = rows.join(least, key.eqNullSafe(F.col("_id")) & (F.col("class") == F.col("_class")), "left_semi")
+    order = F.xxhash64(*[f"c{i}" for i, f in enumerate(docs.schema.fields) if isinstance(f.dataType, T.AtomicType)])
+    one = kept.groupBy(key.alias("_id"), "class").agg(F.min_by(F.struct(*plain.columns), order).alias("row")).select("row.*")
+    return clear.unionByName(one).unionByName(rows.where("class is null").drop("class")).toDF(*names)

@@ -14,7 +14,6 @@ training document everything is `und`. Repeated rows are judged alike and count
 
 from __future__ import annotations
 
-import base64
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_batches, slices
 
 CODES = 64
 #: A word is a run of letters; everything else separates.
@@ -158,8 +157,8 @@ def predict(texts: list[str | None], models: Models) -> tuple[list[str], list[fl
     return langs, scores, shares
 
 
-def _predict(batches: Iterator[pa.RecordBatch], langs: list[str], packed: str) -> Iterator[pa.RecordBatch]:
-    models = Models(langs, np.frombuffer(base64.b64decode(packed), np.int64).reshape(len(langs), -1) if langs else np.zeros((0, CODES**3), np.int64))
+def _predict(batches: Iterator[pa.RecordBatch], langs: list[str], counts) -> Iterator[pa.RecordBatch]:
+    models = Models(langs, counts.value)
     for b in slices(batches, 256):
         lang, score, share = predict(b.column(1).to_pylist(), models)
         text = ["" if p is None else ",".join(f"{x}:{v:.3f}" for x, v in zip(langs, p) if v > 0) for p in share]
@@ -168,6 +167,7 @@ def _predict(batches: Iterator[pa.RecordBatch], langs: list[str], packed: str) -
 
 def learn(docs: DataFrame, training: Column) -> tuple[list[str], np.ndarray]:
     """Languages and trigram counts from text and non-null lang of the training rows; at most CODES ** 3 counts per language reach the driver."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where(training & F.col("lang").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
     n = rows.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(n.column("lang").to_pylist()))
@@ -179,6 +179,7 @@ def learn(docs: DataFrame, training: Column) -> tuple[list[str], np.ndarray]:
 
 def identify(docs: DataFrame, langs: list[str], counts: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score, mixture (language:proportion of the selected set) of every row."""
-    packed = base64.b64encode(counts.tobytes()).decode()
+    sent = docs.sparkSession.sparkContext.broadcast(counts)  # CODES ** 3 numbers a language
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _predict(it, langs, packed), "doc_id long, lang_pred string, score double, mixture string")
+    return rows.mapInArrow(lambda it: _predict(it, langs, sent), "doc_id long, lang_pred string, score double, mixture string")

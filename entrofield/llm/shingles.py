@@ -8,6 +8,7 @@ import numpy as np
 
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
+LONG = 64
 _powers = {"n": 0, "p": np.zeros(0, np.uint64), "inv": np.zeros(0, np.uint64)}
 
 
@@ -36,11 +37,14 @@ def mix(z: np.ndarray) -> np.ndarray:
 def shingles(text: str | None, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the runs of k words, A-Z lower-cased; of the whole sequence if it has fewer words; none without words.
 
-    A rolling hash over the bytes: prefix sums of byte values times powers, so that each run costs one subtraction.
+    A rolling hash over the bytes: prefix sums of byte values times powers, so that each run costs one subtraction. Words of more than LONG bytes are first replaced by a
+    cryptographic digest: modulo a power of two, such hashes have known collisions between structured strings, but only between longer ones than five words now have.
     """
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
+    if max(map(len, words)) > LONG:
+        words = [w if len(w) <= LONG else b"\x00" + hashlib.blake2b(w, digest_size=16).hexdigest().encode() for w in words]
     b = np.frombuffer(b" ".join(words), np.uint8)
     p, inv = _tables(len(b) + 1)
     sums = np.zeros(len(b) + 1, np.uint64)
