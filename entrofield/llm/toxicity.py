@@ -2,9 +2,9 @@
 
 Input of a word: an embedding (words of the training sample's vocabulary; all others share one) and the mean embedding of its hashed character trigrams. Two gated
 recurrent layers read a window of WINDOW words in both directions; attention pools their states to one logit per window. All overlapping windows, one at
-each STRIDE words, of the whole text are scored; the document's score is its highest logit, calibrated to a probability by logistic regression.
+every word, of the whole text are scored; the document's score is its highest logit, calibrated to a probability by logistic regression.
 
-Training: on the driver, on at most SAMPLE labelled documents taken in the order of a hash of their id (fewer if there are fewer), on all their windows. First
+Training: on the driver, on at most SAMPLE labelled documents taken in the order of a hash of their id (fewer if there are fewer), on all their windows (all are scored every second epoch to find the best). First
 embedding coordinates start at the words' and trigrams' log-odds in the sample. The loss is the cross-entropy of a document's best window. One text and its near
 copies (a Jaccard index of COPY over the whole texts' shingles) of a label count once.
 
@@ -26,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_hash, map_whole, slices
+from .common import bounded_batches, key_hash, map_whole, slices
 from .shingles import shingles
 
 WORD = re.compile(r"[^\W\d_]+")
-WINDOW, STRIDE = 24, 1
+WINDOW = 24
 SAMPLE = 4000
 VOCABULARY, TRIGRAMS = 4000, 4096
 DIM, HIDDEN, ATT = 8, 12, 8
 EPOCHS, MOST_EPOCHS, LEAST_STEPS = 4, 16, 120
+#: Epochs after which all windows are scored again to find each document's best one.
+REFRESH = 2
 BATCH, RATE, DECAY = 64, 0.01, 0.01
 #: Jaccard index of whole texts from which one is a copy of the other.
 COPY = 0.75
@@ -43,7 +45,7 @@ TELLING = 2.6
 #: Weight of the calibration slope's prior.
 PRIOR = 5.0
 #: Windows scored at once, and words of a worker's memo.
-CHUNK, MEMO = 4096, 120_000
+CHUNK, MEMO = 1024, 60_000
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -68,26 +70,17 @@ def trigram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[keep].astype(np.int64), np.concatenate([[0], np.cumsum(n - 2)[:-1]])
 
 
-def spans(n_words: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each window of several documents starts in their concatenated words and where its document ends, and each document's first window."""
-    n = np.array(n_words)
-    count = np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1)
-    first = np.cumsum(count) - count
-    doc = np.repeat(np.arange(len(n)), count)
-    end = np.cumsum(n)
-    return (end - n)[doc] + (np.arange(count.sum()) - first[doc]) * STRIDE, end[doc], first
-
-
-def positions(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Positions (windows, WINDOW) of the words, -1 past a document's end."""
-    at = start[:, None] + np.arange(WINDOW)
-    return np.where(at < end[:, None], at, -1)
-
-
-def windows_of(n_words: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (windows, WINDOW) in the concatenated words of several documents, -1 past a document's end, and each document's first window."""
-    start, end, first = spans(n_words)
-    return positions(start, end), first
+def layout(n_words: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents side by side, each of WINDOW places at least: the word (of all documents' words in turn, -1 for none) at each place, each document's first place, and
+    at which places a window starts: one at every word that has a whole window after it, one for a shorter document.
+    """
+    n = np.array(n_words, np.int64)
+    room = np.maximum(n, WINDOW)
+    first = np.cumsum(room) - room
+    doc = np.repeat(np.arange(len(n)), room)
+    within = np.arange(room.sum()) - first[doc]
+    word = np.where(within < n[doc], (np.cumsum(n) - n)[doc] + within, -1)
+    return word, first, within + WINDOW <= room[doc]
 
 
 # ---------------------------------------------------------------- network
@@ -165,6 +158,55 @@ class Network:
             keep.update(ahead=ahead, back=back, h=h, a=a, alpha=alpha, pooled=pooled)
         return pooled @ p["w"] + p["b"][0]
 
+    def slide(self, pre: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """forward() of the windows at all places of at, which holds rows of pre (the padding's last): logits of len(at) - WINDOW + 1 windows.
+
+        States are feature-major, and neighbouring windows are neighbouring columns, so that a step of all windows reads one slice. Weights of the gates are halved
+        beforehand, since sigmoid(x) = (1 + tanh(x / 2)) / 2.
+        """
+        p, n_at = self.p, len(at) - WINDOW + 1
+        gate = np.full((3 * HIDDEN, 1), 0.5, np.float32)
+        uf, ub = (np.ascontiguousarray(p[u].T) * gate for u in ("uf", "ub"))
+        gate[2 * HIDDEN :] = 1.0
+        scale, att, out = np.concatenate([gate, gate]), np.ascontiguousarray(p["att"].T), np.empty(n_at, np.float32)
+        for i in range(0, n_at, CHUNK):
+            k = min(CHUNK, n_at - i)
+            rows = at[i : i + k + WINDOW - 1]
+            x, real = np.ascontiguousarray(pre[rows].T) * scale, (rows != len(pre) - 1)
+            h, s, q = np.empty((WINDOW, 2 * HIDDEN, k), np.float32), np.empty((WINDOW, k), np.float32), np.empty((WINDOW, k), np.float32)
+            hu, zr, n = np.zeros((3 * HIDDEN, k), np.float32), np.empty((2 * HIDDEN, k), np.float32), np.empty((HIDDEN, k), np.float32)
+            for u, base, order in ((uf, 0, range(WINDOW)), (ub, 1, range(WINDOW - 1, -1, -1))):
+                was = np.zeros((HIDDEN, k), np.float32)
+                hu[:] = 0
+                for t in order:
+                    x_t, h_t = x[3 * HIDDEN * base : 3 * HIDDEN * (base + 1), t : t + k], h[t, HIDDEN * base : HIDDEN * (base + 1)]
+                    np.add(x_t[: 2 * HIDDEN], hu[: 2 * HIDDEN], out=zr)
+                    np.tanh(zr, out=zr)
+                    z, r = zr[:HIDDEN], zr[HIDDEN:]
+                    r += 1
+                    r *= hu[2 * HIDDEN :]
+                    r += x_t[2 * HIDDEN :]
+                    np.tanh(r, out=n)
+                    np.subtract(was, n, out=h_t)
+                    h_t *= z
+                    h_t += was
+                    h_t += n
+                    h_t *= 0.5
+                    was = h_t
+                    np.dot(u, h_t, out=hu)
+            for t in range(WINDOW):
+                a = att @ h[t]
+                np.tanh(a, out=a)
+                np.dot(p["v"], a, out=s[t])
+                np.dot(p["w"], h[t], out=q[t])
+                s[t][~real[t : t + k]] = -1e9
+            s -= s.max(0)
+            np.exp(s, out=s)
+            for t in range(WINDOW):
+                s[t] *= real[t : t + k]
+            out[i : i + k] = (s * q).sum(0) / np.maximum(s.sum(0), 1e-9) + p["b"][0]
+        return out
+
     def backward(self, dlogit: np.ndarray, k: dict) -> tuple[dict, np.ndarray]:
         p, h, a, alpha = self.p, k["h"], k["a"], k["alpha"]
         g = {"w": k["pooled"].T @ dlogit, "b": np.array([dlogit.sum()], np.float32)}
@@ -201,18 +243,12 @@ class Network:
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """Highest window logit of each text."""
         words = [words_of(t) for t in texts]
-        start, end, first = spans([len(w) for w in words])
-        row = self.rows_of([w for ws in words for w in ws])
-        out = np.empty(len(start), np.float32)
-        for i in range(0, len(start), CHUNK):  # a long text has as many windows as words
-            part = positions(start[i : i + CHUNK], end[i : i + CHUNK])
-            used, inv = np.unique(np.where(part < 0, 0, row[part] if len(row) else 0), return_inverse=True)
-            if used[0] != 0:
-                used, inv = np.concatenate([[0], used]), inv + 1
-            pre = np.concatenate([self.rows[used[1:]], self.rows[:1]])  # padding last
-            inv = inv.reshape(part.shape) - 1
-            out[i : i + CHUNK] = self.forward(pre, np.where(inv < 0, len(pre) - 1, inv))
-        return np.maximum.reduceat(out, first)
+        word, first, starts = layout([len(w) for w in words])
+        row = np.append(self.rows_of([w for ws in words for w in ws]), 0)[word]  # the last is the padding's
+        used, own = np.unique(np.append(row, 0), return_inverse=True)
+        pre = np.concatenate([self.rows[used[1:]], self.rows[:1]])  # padding last
+        own = own[:-1] - 1
+        return np.maximum.reduceat(windows(self, pre, np.where(own < 0, len(pre) - 1, own), starts), first)
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         a, b = self.scale
@@ -283,17 +319,29 @@ def start(docs: list[list[str]], y: np.ndarray, rng: np.random.Generator) -> tup
     return Network(vocabulary, p), telling
 
 
-def rows_at(own: np.ndarray, at: np.ndarray, pad: int) -> np.ndarray:
-    """Rows of the words at positions, whose row is own; pad past the end."""
-    return np.where(at < 0, pad, own[at] if len(own) else pad)
+def windows(net: Network, pre: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Logit of the window at each place, minus infinity where none starts."""
+    out = np.full(len(at), -np.inf, np.float32)
+    got = net.slide(pre, at)
+    out[: len(got)] = np.where(starts[: len(got)], got, -np.inf)
+    return out
 
 
 def best_windows(net: Network, pre: np.ndarray, own: np.ndarray, n_words: list[int]) -> np.ndarray:
-    """Positions of the window with the highest logit (the first among equals) of each document, of all its windows."""
-    start, end, first = spans(n_words)
-    logit = np.concatenate([net.forward(pre, rows_at(own, positions(start[i : i + CHUNK], end[i : i + CHUNK]), len(pre) - 1)) for i in range(0, len(start), CHUNK)])
-    best = np.array([a + np.argmax(logit[a:b]) for a, b in zip(first, np.append(first[1:], len(start)))])
-    return positions(start[best], end[best])
+    """Rows of pre in the window with the highest logit (the first among equals) of each document, of all its windows. own: the words' rows; the last row of pre is the padding's."""
+    word, first, starts = layout(n_words)
+    at = np.append(own, len(pre) - 1)[word]
+    logit = windows(net, pre, at, starts)
+    best = np.array([a + np.argmax(logit[a:b]) for a, b in zip(first, np.append(first[1:], len(at)))])
+    return at[best[:, None] + np.arange(WINDOW)]
+
+
+def scatter(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of values by their place in a table of n rows."""
+    out, order = np.zeros((n, values.shape[1]), np.float32), np.argsort(at, kind="stable")
+    places, start = np.unique(at[order], return_index=True)
+    out[places] = np.add.reduceat(values[order], start, axis=0)
+    return out
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Network | None:
@@ -313,26 +361,32 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Network
     numbers = [np.array([number[w] for w in d], np.int32) for d in docs]
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
     epochs = min(MOST_EPOCHS, max(EPOCHS, -(-LEAST_STEPS * BATCH // len(fit))))
+    best: dict[int, list[str]] = {}
     for epoch in range(epochs):
         order = rng.permutation(fit)
         for i in range(0, len(order), BATCH):
             part = order[i : i + BATCH]
-            used, own = np.unique(np.concatenate([numbers[d] for d in part]), return_inverse=True)
-            words = [unique[k] for k in used] or ["-"]
+            if epoch % REFRESH == 0:
+                used, own = np.unique(np.concatenate([numbers[d] for d in part]), return_inverse=True)
+                words = [unique[k] for k in used] or ["-"]
+                pre = np.concatenate([net.inputs(words)[0] @ net.p["wx"] + net.p["bx"], net.pad_row()[None]]).astype(np.float32)
+                for d, row in zip(part.tolist(), best_windows(net, pre, own, [len(numbers[d]) for d in part])):
+                    best[d] = [words[k] for k in row if k < len(words)]
+            words = sorted({w for d in part for w in best[d]}) or ["-"]
+            at_word = {w: k for k, w in enumerate(words)}
+            at = np.full((len(part), WINDOW), len(words))
+            for row, d in zip(at, part.tolist()):
+                row[: len(best[d])] = [at_word[w] for w in best[d]]
             x, (wid, tri, n_tri) = net.inputs(words)
             pre = np.concatenate([x @ net.p["wx"] + net.p["bx"], net.pad_row()[None]]).astype(np.float32)
             kept: dict = {}
-            at = rows_at(own, best_windows(net, pre, own, [len(numbers[d]) for d in part]), len(words))
             dlogit = (sigmoid(net.forward(pre, at, kept)) - y[part]).astype(np.float32) / len(part)
             g, dpre = net.backward(dlogit, kept)
-            flat_pre = np.zeros_like(pre)
-            np.add.at(flat_pre, at.T.ravel(), dpre.reshape(-1, 6 * HIDDEN))
-            flat_pre = flat_pre[:-1]
+            flat_pre = scatter(at.T.ravel(), dpre.reshape(-1, 6 * HIDDEN), len(pre))[:-1]
             g["wx"], g["bx"] = x.T @ flat_pre, flat_pre.sum(0)
             dx = flat_pre @ net.p["wx"].T
-            g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(g["word"], wid, dx[:, :DIM])
-            np.add.at(g["char"], tri, np.repeat(dx[:, DIM:] / n_tri[:, None], n_tri, axis=0))
+            g["word"] = scatter(wid, dx[:, :DIM], len(net.p["word"]))
+            g["char"] = scatter(tri, np.repeat(dx[:, DIM:] / n_tri[:, None], n_tri, axis=0), TRIGRAMS)
             step += 1
             rate = RATE * (1 - epoch / epochs)
             for k in net.p:
@@ -398,6 +452,7 @@ def _score(batches: Iterator[pa.RecordBatch], packed: bytes | None) -> Iterator[
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id and score (0 to 1) of every row."""
+    bounded_batches(docs.sparkSession)
     packed = _packed(net)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _score(it, packed), "doc_id long, score double")
@@ -410,5 +465,6 @@ def _reject(batches: Iterator[pa.RecordBatch], at: int, packed: bytes | None, li
 
 def reject(docs: DataFrame, net: Network | None, limit: float = 0.5) -> DataFrame:
     """docs without those that score limit or more."""
+    bounded_batches(docs.sparkSession)
     packed, at = _packed(net), docs.columns.index("text")
     return map_whole(docs, lambda it: _reject(it, at, packed, limit))

@@ -79,12 +79,50 @@ def test_gradients():
 
 
 def test_windows_overlap_and_cover():
-    at, first = X.windows_of([0, 5, 24, 25, 100])
-    assert first.tolist()[:4] == [0, 1, 2, 3]
-    for k, n in enumerate([0, 5, 24, 25, 100]):
-        own = at[first[k] : first[k + 1] if k < 4 else None]
-        base = sum([0, 5, 24, 25, 100][:k])
-        assert sorted(set(own[own >= 0].tolist())) == list(range(base, base + n))
+    sizes = [0, 5, 24, 25, 100]
+    word, first, starts = X.layout(sizes)
+    for k, n in enumerate(sizes):
+        own = word[first[k] : first[k + 1] if k < 4 else None]
+        base = sum(sizes[:k])
+        assert own[own >= 0].tolist() == list(range(base, base + n)) and len(own) == max(n, X.WINDOW)
+        begin = starts[first[k] : first[k + 1] if k < 4 else None]
+        assert np.flatnonzero(begin).tolist() == list(range(max(1, n - X.WINDOW + 1)))
+
+
+def plain_score(net, text):
+    """The score of a text by loops over windows, words and units."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    p, H, words = net.p, X.HIDDEN, X.words_of(text)
+    best = -np.inf
+    for begin in range(max(1, len(words) - X.WINDOW + 1)):
+        part = words[begin : begin + X.WINDOW]
+        inputs = []
+        for w in part:
+            tri = X.trigram_ids([w])[0]
+            inputs.append(np.concatenate([p["word"][net.ids.get(w, 0)], sum(p["char"][t] for t in tri) / len(tri)]) @ p["wx"] + p["bx"])
+        states = [[], []]
+        for side, u in enumerate(("uf", "ub")):
+            h = np.zeros(H)
+            for x in inputs if not side else inputs[::-1]:
+                x = x[3 * H * side : 3 * H * (side + 1)]
+                hu = h @ p[u]
+                z, r = sig(x[:H] + hu[:H]), sig(x[H : 2 * H] + hu[H : 2 * H])
+                n = np.tanh(x[2 * H :] + r * hu[2 * H :])
+                h = (1 - z) * n + z * h
+                states[side].append(h)
+        both = [np.concatenate(v) for v in zip(states[0], states[1][::-1])]
+        e = [np.exp(np.tanh(h @ p["att"]) @ p["v"]) for h in both]
+        pooled = sum((w * h for w, h in zip(e, both)), np.zeros(2 * H)) / max(sum(e), 1e-9)
+        best = max(best, pooled @ p["w"] + p["b"][0])
+    a, b = net.scale
+    return float(sig(a * best + b))
+
+
+def test_scores_equal_plain_loops(trained):
+    net, texts = trained[0], trained[1]
+    some = [None, "", "one", "!! 12", *[" ".join(t.split()[:90]) for t in texts[:12]]]
+    got = net.probabilities(some)
+    assert np.allclose(got, [plain_score(net, t) for t in some], atol=1e-4)
 
 
 def test_reject_and_odd_rows(spark, trained, docs, empty):

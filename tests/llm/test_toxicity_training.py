@@ -42,12 +42,11 @@ def test_copies_equal_brute_force(words):
 def test_training_reads_all_windows(words, monkeypatch):
     rng = np.random.default_rng(3)
     docs = [[words[k] for k in rng.integers(0, len(words), 300)] for _ in range(16)]
-    seen, forward = [], X.Network.forward
-    monkeypatch.setattr(X.Network, "forward", lambda self, pre, at, keep=None: (seen.append(len(at)), forward(self, pre, at, keep))[1])
+    seen, windows = [], X.windows
+    monkeypatch.setattr(X, "windows", lambda net, pre, at, starts: (seen.append(int(starts.sum())), windows(net, pre, at, starts))[1])
     assert X.train([" ".join(d) for d in docs], [i % 2 for i in range(16)])
-    each = len(X.windows_of([300])[0])
     fit = 12  # three quarters of each kind
-    assert sum(seen) >= X.MOST_EPOCHS * fit * each
+    assert sum(seen) >= X.MOST_EPOCHS // X.REFRESH * fit * (300 - X.WINDOW + 1)
 
 
 def test_best_window_of_each_document(words):
@@ -57,20 +56,13 @@ def test_best_window_of_each_document(words):
     used, own = np.unique(np.concatenate([np.array([words.index(w) for w in d], int) for d in docs]), return_inverse=True)
     pre = np.concatenate([net.inputs([words[k] for k in used])[0] @ net.p["wx"] + net.p["bx"], net.pad_row()[None]]).astype(np.float32)
     at = X.best_windows(net, pre, own, [len(d) for d in docs])
-    assert [int((a >= 0).sum()) for a in at] == [24, 0, 10, 24]
-    got = net.forward(pre, X.rows_at(own, at, len(pre) - 1))
-    assert np.allclose(got, net.logits([" ".join(d) for d in docs]), atol=1e-4)
-
-
-def test_a_window_at_every_word():
-    at, first = X.windows_of([100, 24, 30])
-    assert first.tolist() == [0, 77, 78] and len(at) == 77 + 1 + 7
-    assert all(row.tolist() == list(range(k, k + 24)) for k, row in enumerate(at[:77]))
+    assert [int((a < len(pre) - 1).sum()) for a in at] == [X.WINDOW, 0, 10, X.WINDOW]
+    assert np.allclose(net.forward(pre, at), net.logits([" ".join(d) for d in docs]), atol=1e-4)
 
 
 def test_context_between_windows_is_seen(words):
-    """The highest logit is that of the best run of 24 words, wherever it begins."""
+    """The highest logit is that of the best run of WINDOW words, wherever it begins."""
     net, _ = X.start([words[:80], words[80:160]], np.array([1, 0]), np.random.default_rng(2))
     text = words[:70]
-    alone = [net.logits([" ".join(text[k : k + 24])])[0] for k in range(47)]
+    alone = [net.logits([" ".join(text[k : k + X.WINDOW])])[0] for k in range(70 - X.WINDOW + 1)]
     assert abs(net.logits([" ".join(text)])[0] - max(alone)) < 1e-4
