@@ -1,17 +1,23 @@
 """Personal data replaced by keyed surrogates of the same type, gender, script and format.
 
 Entities: e-mail addresses, IPv4 addresses, phone numbers, account and card numbers (13-19 digits), social-security numbers, IBANs with valid check digits,
-labelled secrets (token = ...), and person names (a known given name or a title before a capitalised surname, and later mentions of that surname).
+labelled secrets (token = ...), and person names. A name is a known given name, a title (Mr, Dr, ...) or a cue ("my name is", "Name:" at the beginning of a line) before a capitalised
+word; a capitalised word after a given name is the surname, and later mentions of that surname are found too. Names without any of these are not found.
 
 A surrogate is a permutation of the entity within its format. The characters that carry information become digits of mixed radix: digits, letters of one
-script (in names: vowels and consonants apart), octets, or the given names of one script and gender. A keyed Feistel network P over such strings gives
-x -> P^-1(P(x) + 1), a permutation without fixed points. So
+script (in names: vowels and consonants apart; in secrets: hexadecimal letters and others apart), octets, or the given names of one script and gender. A keyed
+Feistel network P over such strings gives x -> P^-1(P(x) + 1), a permutation without fixed points. Where the format is a part of these strings, the permutation is
+repeated until its result is in it. So
 - distinct entities get distinct surrogates and equal ones equal surrogates, over the whole corpus and in every rerun, without shared state;
-- no entity is its own surrogate; punctuation, lengths, letter case, country codes, top-level domains, check digits and validity stay.
+- no entity is its own surrogate (a name only where it has one letter to change); punctuation, lengths, letter case, calling codes, top-level domains, check digits
+  and validity stay. Private, loopback, link-local, multicast and reserved addresses stay in their range, public ones public;
+- surnames of one family keep their stem in common and each its gendered ending (Ivanov, Ivanova); given names that aren't in the lists are permuted by letter before
+  an ending that tells their gender.
 The collision check counts, per document, distinct entities with equal surrogates (`collisions`, 0 by construction); collision_report() does so over the corpus.
 
-Spelling variants in letter case or separators are one entity. Null and empty texts stay as they are, without entities. Repeated rows get equal results. Other
-columns, and their order, are kept by pseudonymise(); an empty table gives no rows.
+Spelling variants in separators are one entity, and those in letter case except in secrets. "+1 555 123 4567" and "+15551234567" are one number: the calling code is
+read by the table of codes, and a number without one is another format. Null and empty texts stay as they are, without entities. Repeated rows get equal
+results. Other columns, and their order, are kept by pseudonymise(); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,13 +25,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_whole, slices
+from .common import bounded_batches, map_whole, slices
 
 DIGITS = "0123456789"
 #: Letters that replace one another.
@@ -41,7 +47,22 @@ GIVEN = {
     ("greek", "f"): "Αικατερίνη Αλεξάνδρα Βασιλική Δήμητρα Ελένη Κωνσταντίνα Μαργαρίτα Παναγιώτα".split(),
     ("greek", "m"): "Αθανάσιος Αλέξανδρος Βασίλειος Γεώργιος Δημήτριος Κωνσταντίνος Νικόλαος Παναγιώτης".split(),
 }
-TITLES = frozenset("Mr Mrs Ms Miss Herr Frau Madame Monsieur Señor Señora".split())
+#: Common given names besides, by script and gender: found, and replaced by one another.
+COMMON = {
+    ("latin", "f"): "Alice Anna Barbara Carol Clara Diana Emma Eva Hannah Helen Jane Julia Laura Linda Lisa Lucy Maria Marie Martha Mary Nancy Nina Olivia Paula Rachel Rosa Ruth Sandra Sara Sarah Sofia Sophie Susan Teresa".split(),
+    ("latin", "m"): "Adam Anton Bob Carlos Charles Daniel David Eric Felix Frank George Hans Henry Jack James Jan John Jose Juan Karl Louis Luis Marco Mark Martin Max Oliver Oscar Otto Paul Peter Pierre Ralph Richard Samuel Simon Stefan Steven Thomas Victor Walter William".split(),
+}
+TITLES = frozenset("Mr Mrs Ms Miss Dr Prof Herr Frau Madame Monsieur Señor Señora Signor Signora".split())
+#: Words before a name that isn't in the lists.
+CUES = re.compile(r"(?im:\b(?:my name is|full name:|ich heiße|je m'appelle|me llamo|mi chiamo|меня зовут)|^(?:name|signed):) +")
+#: Masculine and feminine endings of the surnames of a family.
+ENDINGS = (("ов", "ова"), ("ев", "ева"), ("ёв", "ёва"), ("ин", "ина"), ("ский", "ская"), ("цкий", "цкая"), ("ov", "ova"), ("ev", "eva"), ("ski", "ska"), ("cki", "cka"), ("sky", "skaya"), ("ský", "ská"))
+#: Endings of given names that tell a gender.
+GENDERED = ("ita", "ina", "ella", "a", "o", "а", "я", "ия", "й")
+#: Calling codes of one and two digits (ITU-T E.164); all others have three.
+CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: IPv4 ranges whose addresses stay in them: first octets that are fixed, and the radices and least values of the rest (RFC 1918, 1122, 3927, 5771, 1112).
+RANGES = (((10,), (256, 256, 256), (0, 0, 0)), ((192, 168), (256, 256), (0, 0)), ((172,), (16, 256, 256), (16, 0, 0)), ((127,), (256, 256, 256), (0, 0, 0)), ((169, 254), (256, 256), (0, 0)), ((0,), (256, 256, 256), (0, 0, 0)), ((), (16, 256, 256, 256), (224, 0, 0, 0)), ((), (16, 256, 256, 256), (240, 0, 0, 0)))
 
 EMAIL = re.compile(r"(?<![\w.+%-])[^\W_][\w.+%-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?!\w)")
 RUN = re.compile(r"[+(]?\d[\d .()+-]*")
@@ -56,6 +77,7 @@ IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3}
 SECRET = re.compile(r"(?i)(?<![^\W_])(?:token|secret|password|api[_-]?key)\b[\"']?\s*[:=]\s*[\"']?((?=[\w+/=-]*\d)[A-Za-z0-9+/_=-]{16,})")
 CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][^\W\d_]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][^\W\d_]+)?"
 NAME = re.compile(rf"(?<!\w)({CAP})\.? (?=({CAP})(?!\w))")
+CALLED = re.compile(rf"({CAP})(?!\w)(?: ({CAP})(?!\w))?")
 
 
 # ---------------------------------------------------------------- permutations
@@ -137,7 +159,8 @@ class Surrogates:
 
     def __init__(self, key: bytes):
         self.p = Permuter(key)
-        self.given = {n: (names, i, k) for k, names in GIVEN.items() for i, n in enumerate(names)}
+        lists = {k: [*names, *COMMON.get(k, [])] for k, names in GIVEN.items()}
+        self.given = {n: (names, i, k) for k, names in lists.items() for i, n in enumerate(names)}
         self.memo: dict[tuple[str, str], str] = {}
 
     def __call__(self, kind: str, text: str) -> str:
@@ -153,13 +176,22 @@ class Surrogates:
         return f"{permute_text(self.p, local, 'email', (DIGITS, *LETTERS))}@{permute_text(self.p, host, 'host', (DIGITS, *LETTERS))}.{top}"
 
     def ip(self, text: str) -> str:
-        return ".".join(map(str, self.p([int(x) for x in text.split(".")], [256] * 4, "ip")))
+        x = [int(v) for v in text.split(".")]
+        k, range_ = range_of(x)
+        if range_:
+            fixed, radix, least = range_
+            rest = self.p([v - low for v, low in zip(x[len(fixed) :], least)], radix, f"ip{k}")
+            return ".".join(map(str, [*fixed, *[v + low for v, low in zip(rest, least)]]))
+        while True:
+            x = self.p(x, [256] * 4, "ip")
+            if not range_of(x)[1]:
+                return ".".join(map(str, x))
 
     def phone(self, text: str) -> str:
-        m = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-        code = m[0] if m else ""
-        rest = text[len(code) :]
-        return code + refill(rest, self.digits("".join(c for c in rest if c in DIGITS), f"phone{code}"), DIGITS)
+        """Digits after the calling code are permuted under it and their number, whatever the separators."""
+        code = calling_code(text)
+        s = "".join(c for c in text if c in DIGITS)
+        return refill(text, code + self.digits(s[len(code) :], f"phone{code or '-'}"), DIGITS)
 
     def digits(self, s: str, kind: str) -> str:
         return "".join(map(str, self.p(list(map(int, s)), [10] * len(s), kind)))
@@ -181,15 +213,55 @@ class Surrogates:
         return refill(text, f"{s[:2]}{check:02d}{body}", DIGITS + LETTERS[0].upper())
 
     def secret(self, text: str) -> str:
-        hexa = all(c in "0123456789abcdefABCDEF" for c in text)
-        return permute_text(self.p, text, "secret", ("0123456789abcdef",) if hexa else (DIGITS, LETTERS[0]))
+        """Hexadecimal letters stay such, so that hexadecimal and other secrets don't meet."""
+        return permute_text(self.p, text, "secret", (DIGITS, "abcdef", "ghijklmnopqrstuvwxyz"))
 
     def first(self, text: str) -> str:
-        names, i, k = self.given[text]
-        return names[self.p([i], [len(names)], f"given{k}")[0]]
+        if text in self.given:
+            names, i, k = self.given[text]
+            return names[self.p([i], [len(names)], f"given{k}")[0]]
+        low = text.lower()
+        end = next((e for e in sorted(GENDERED, key=len, reverse=True) if low.endswith(e) and len(e) < len(low)), "")
+        return self.stem(text, end, "given", lambda v: v in self.given or any(v.lower().endswith(e) for e in GENDERED if e not in end and len(e) > len(end)))
 
     def last(self, text: str) -> str:
-        return permute_text(self.p, text, "surname", SOUNDS)
+        end, family = surname_ending(text)
+        return self.stem(text, end, f"surname{family}", lambda v: surname_ending(v) != (end, family))
+
+    def stem(self, text: str, end: str, kind: str, foreign: Callable[[str], bool]) -> str:
+        """The part before the ending permuted, again where the whole would be read as another format."""
+        head, tail = text[: len(text) - len(end)], text[len(text) - len(end) :]
+        while True:
+            head = permute_text(self.p, head, kind, SOUNDS)
+            if not foreign(head + tail) or head + tail == text:
+                return head + tail
+
+
+def surname_ending(text: str) -> tuple[str, int]:
+    """The gendered ending of a surname and the number of its family of endings, or none."""
+    low = text.lower()
+    for k, pair in enumerate(ENDINGS):
+        for end in pair:
+            if low.endswith(end) and len(low) - len(end) >= 2:
+                return end, k
+    return "", -1
+
+
+def range_of(x: Sequence[int]) -> tuple[int, tuple | None]:
+    """Number and description of the reserved range of an address."""
+    for k, (fixed, radix, least) in enumerate(RANGES):
+        rest = x[len(fixed) :]
+        if tuple(x[: len(fixed)]) == fixed and all(low <= v < low + r for v, low, r in zip(rest, least, radix)):
+            return k, RANGES[k]
+    return -1, None
+
+
+def calling_code(text: str) -> str:
+    """Digits of the calling code of a number that begins with +; else none."""
+    if not text.startswith("+"):
+        return ""
+    s = "".join(c for c in text if c in DIGITS)
+    return s[:1] if s[:1] in CODES else s[:2] if s[:2] in CODES else s[:3]
 
 
 # ---------------------------------------------------------------- detection
@@ -224,8 +296,17 @@ def names(text: str, given: dict) -> Iterator[tuple[int, int, str]]:
             continue
         surnames.add(m[2])
         yield m.start(2), m.end(2), "last"
+    for cue in CUES.finditer(text):
+        m = CALLED.match(text, cue.end())
+        if not m or m[1] in TITLES:
+            continue
+        yield m.start(1), m.end(1), "first"
+        if m[2] and m[2] not in given:
+            surnames.add(m[2])
+            yield m.start(2), m.end(2), "last"
     if surnames:
-        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(surnames, key=len, reverse=True)))})(?!\w)", text):
+        family = {f"{x[: len(x) - len(e)]}{other}" for x in surnames for e, k in [surname_ending(x)] if k >= 0 for other in ENDINGS[k]}
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(surnames | family, key=len, reverse=True)))})(?!\w)", text):
             yield m.start(), m.end(), "last"
 
 
@@ -260,13 +341,15 @@ def replace(text: str, sur: Surrogates) -> tuple[str, list[tuple[str, str, str]]
 
 def canonical(kind: str, text: str) -> str:
     """One spelling for variants of an entity."""
-    return re.sub(r"[ ()+-]", "", text).lower() if kind in ("phone", "account", "iban", "ssn") else text.lower()
+    if kind in ("phone", "account", "iban", "ssn"):
+        return re.sub(r"[ .()-]", "", text).lower()
+    return text if kind == "secret" else text.lower()
 
 
 def collisions(found: list[tuple[str, str, str]]) -> int:
-    """Distinct entities less distinct surrogates."""
-    pairs = {(k, canonical(k, a)): canonical(k, b) for k, a, b in found}
-    return len(pairs) - len({(k, b) for (k, _), b in pairs.items()})
+    """Distinct entities less distinct surrogates, and the other way round."""
+    pairs = {(k, canonical(k, a), canonical(k, b)) for k, a, b in found}
+    return 2 * len(pairs) - len({(k, a) for k, a, _ in pairs}) - len({(k, b) for k, _, b in pairs})
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch], at: int, key: bytes) -> Iterator[pa.RecordBatch]:
@@ -280,6 +363,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch], at: int, key: bytes) -> Iterator
 
 def pseudonymise(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame:
     """docs with the column's personal data replaced; all columns and rows stay."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(column)
     return map_whole(docs, lambda it: _rewrite(it, at, key))
 
@@ -299,6 +383,7 @@ def _report(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.Record
 
 def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with surrogates, number of mentions, mentions by type, collisions."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _report(it, key), "doc_id long, text string, n_entities int, kinds string, collisions int")
 
@@ -311,6 +396,8 @@ def _mentions(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.Reco
 
 
 def collision_report(docs: DataFrame, key: bytes) -> DataFrame:
-    """Surrogates that stand for several entities of one type in the corpus: none, unless a format is at fault. Mentions are combined before the shuffle."""
-    m = docs.select(F.col("text").cast("string")).mapInArrow(lambda it: _mentions(it, key), "kind string, original string, surrogate string")
-    return m.distinct().groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
+    """Surrogates that stand for several entities of one type in the corpus, and entities with several surrogates: none, unless a format is at fault. Mentions are combined before the shuffle."""
+    m = docs.select(F.col("text").cast("string")).mapInArrow(lambda it: _mentions(it, key), "kind string, original string, surrogate string").distinct()
+    met = m.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
+    split = m.groupBy("kind", "original").agg(F.count("*").alias("surrogates")).where("surrogates > 1")
+    return met.select("kind", F.col("surrogate").alias("value"), "entities", F.lit(1).cast("long").alias("surrogates")).unionByName(split.select("kind", F.col("original").alias("value"), F.lit(1).cast("long").alias("entities"), "surrogates"))
