@@ -19,6 +19,39 @@ def test_encoder_equals_library(texts):
         assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_other_tokenizers_get_whole_texts(texts):
+    """Byte-level files keep case and blanks; they are known by their configuration."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), T.WordEncoder(path)
+    assert not enc.by_word and T.WordEncoder(PATH).by_word
+    for t in [*texts[:20], *ODD, "Hello big World, again. "]:
+        assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
+def test_one_key_with_many_rows(spark):
+    """Rows of one id, or of none, are spread over shards; each is found through the index and read."""
+    rows = [(7, f"word{i % 50} two") for i in range(900)] + [(None, "no id")] * 600 + [(i, "x") for i in range(100, 160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    store = T.TokenStore.write(df, PATH, docs_per_shard=100, keys_per_bucket=20)
+    per = {r.shard: r["count"] for r in store.locations.groupBy("shard").count().collect()}
+    assert max(per.values()) < 400 and store.repeated
+    got = T.read_back(df, store).toPandas()
+    tok = Tokenizer.from_file(PATH)
+    crc = lambda t: zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted((-1 if r.doc_id != r.doc_id else int(r.doc_id), r.ids_crc32) for r in got.itertuples()) == sorted((-1 if i is None else i, crc(t)) for i, t in rows)
+    order = got.sort_values("start")
+    assert (order.start.to_numpy() == np.concatenate([[0], order.n_tokens.cumsum()[:-1]])).all() and (np.diff(order.doc_id.dropna().to_numpy()) >= 0).all()
+
+
+def test_bases_over_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 2)
+    monkeypatch.setattr(T, "READ", 200)
+    store = T.TokenStore.write(docs, PATH, docs_per_shard=8)
+    n = {r.shard: r.n for r in store.locations.groupBy("shard").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n").collect()}
+    assert {r.shard: r.base for r in store.bases().collect()} == {k: sum(v for j, v in n.items() if j < k) for k in n}
+    assert T.read_back(docs, store).count() == docs.count()
+
+
 @pytest.mark.parametrize("n", [1, 2, 17, 5000])
 def test_perfect_hash(n):
     keys = np.random.default_rng(n).choice(1 << 40, n, replace=False).astype(np.uint64)
