@@ -21,31 +21,26 @@ from pyspark.sql import functions as F
 from .common import shared_dir, stored
 
 SAMPLES = 24
-#: Ids are ordered in blocks of this many consecutive numbers, and blocks in blocks of blocks, so that no task sorts all ids.
-BLOCK = 1 << 12
+#: Ids that one task puts in order.
+BLOCK = 200_000
 BITS = 24
 #: Pairs of neighbours that are sent to all tasks; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
-def next_ids(ids: DataFrame, levels: int = 2) -> DataFrame:
-    """doc_id, next_id: the next larger id, the least after the largest. ids: distinct, not null.
+def next_ids(ids: DataFrame, path: str) -> DataFrame:
+    """doc_id, next_id: the next larger id, the least after the largest. ids: distinct, not null, of any distribution.
 
-    Within a block by a window; a block's last id is followed by the next block's first, found the same way one level up.
+    Ids are dealt by range into blocks of about BLOCK, and written so, since the ranges come from a sample. Within a block the next id is found by a window; a block's last id is followed by the
+    first of the next block, found over one row per block.
     """
-    key = F.expr(f"doc_id div {BLOCK} - if(doc_id < 0 and doc_id % {BLOCK} <> 0, 1, 0)")  # floor
-    if not levels:
-        w = Window.orderBy("doc_id")  # one row per BLOCK ** 2 ids is left here
-        return ids.select("doc_id", F.coalesce(F.lead("doc_id").over(w), F.min("doc_id").over(w)).alias("next_id"))
-    blocked = ids.withColumn("block", key)
-    w = Window.partitionBy("block").orderBy("doc_id")
-    inner = blocked.withColumn("next_id", F.lead("doc_id").over(w))
-    firsts = blocked.groupBy("block").agg(F.min("doc_id").alias("first"))
-    order = next_ids(firsts.select(F.col("block").alias("doc_id")), levels - 1).select(F.col("doc_id").alias("block"), F.col("next_id").alias("next_block"))
-    after = order.join(firsts.select(F.col("block").alias("next_block"), "first"), "next_block").select("block", "first")
-    return inner.where("next_id is not null").select("doc_id", "next_id").unionByName(
-        inner.where("next_id is null").join(after, "block").select("doc_id", F.col("first").alias("next_id"))
-    )
+    n = ids.count()
+    blocks = stored(ids.repartitionByRange(n // BLOCK + 1, "doc_id").withColumn("block", F.spark_partition_id()), path)
+    inner = blocks.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("block").orderBy("doc_id")))
+    firsts, w = blocks.groupBy("block").agg(F.min("doc_id").alias("first")), Window.orderBy("block")
+    after = firsts.select("block", F.coalesce(F.lead("first").over(w), F.min("first").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("first"))
+    last = inner.where("next_id is null").join(after, "block").select("doc_id", F.col("first").alias("next_id"))
+    return inner.where("next_id is not null").select("doc_id", "next_id").unionByName(last)
 
 
 def half(text: Column) -> Column:
@@ -54,8 +49,8 @@ def half(text: Column) -> Column:
 
 def wanted_prefixes(keyed: DataFrame, root: str) -> tuple[DataFrame, bool]:
     """doc_id, before, half of every pair of neighbours: how many code points doc_id must hand to the document before it. Ids and lengths only; also whether it is small."""
-    lengths = keyed.groupBy("doc_id").agg(F.max(half(F.col("text"))).alias("half"))
-    order = next_ids(lengths.select("doc_id"))
+    lengths = stored(keyed.groupBy("doc_id").agg(F.max(half(F.col("text"))).alias("half")), f"{root}/lengths")
+    order = next_ids(lengths.select("doc_id"), f"{root}/blocks")
     pairs = stored(lengths.join(order, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), "half"), f"{root}/order")
     return pairs, pairs.count() <= BROADCAST_ROWS
 
