@@ -336,13 +336,12 @@ def components(spark: SparkSession, edges: DataFrame, reps: DataFrame, root: str
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         least = stored(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")), f"{root}/least-{i}")
         if not least.where("label <> was").limit(1).count():
-            return labels
+            return least.select("node", "label")
         roots = least.select(F.col("label.class").alias("node")).distinct()
         moved = least.join(roots, "node").where("label.class <> node").select(F.col("node").alias("of"), F.col("label").alias("to"))
         if moved.count() <= BROADCAST_IDS:
             moved = F.broadcast(moved)
-        step = least.join(moved, F.col("label.class") == F.col("of"), "left").select("node", F.coalesce("to", "label").alias("label"))
-        labels = stored(step, f"{root}/labels-{i}")
+        labels = least.join(moved, F.col("label.class") == F.col("of"), "left").select("node", F.coalesce("to", "label").alias("label"))
     raise RuntimeError("components did not settle")
 
 
@@ -442,14 +441,16 @@ def resolve(docs: DataFrame) -> DataFrame:
     more = stored(verify(rest, docs, reps, f"{root}/rest-sets"), f"{root}/rest-links")
     tried = tried.unionByName(rest)
     against = stored(long.where("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct(), f"{root}/against")
-    differ = with_sets(against, docs, reps, f"{root}/pivot-sets").select("a", "b", "x", "y").mapInArrow(lambda it: _differences(it, sketch), DIFFERENCE)
-    differ = stored(differ, f"{root}/differences")
-    more = more.unionByName(differ.where("list is null").select(F.col("class").alias("a"), F.col("pivot").alias("b")))
-    edges, comps = joined(edges, more, comps, f"{root}/second")
-
-    left = stored(difference_pairs(mixed_lists(alive(differ.where("list is not null")), comps)).join(tried, ["a", "b"], "left_anti"), f"{root}/left")
-    last = stored(verify(left, docs, reps, f"{root}/left-sets"), f"{root}/left-links")
-    _, comps = joined(edges, last, comps, f"{root}/third")
+    if not against.limit(1).count():
+        edges, comps = joined(edges, more, comps, f"{root}/second")
+    else:
+        differ = with_sets(against, docs, reps, f"{root}/pivot-sets").select("a", "b", "x", "y").mapInArrow(lambda it: _differences(it, sketch), DIFFERENCE)
+        differ = stored(differ, f"{root}/differences")
+        more = more.unionByName(differ.where("list is null").select(F.col("class").alias("a"), F.col("pivot").alias("b")))
+        edges, comps = joined(edges, more, comps, f"{root}/second")
+        left = stored(difference_pairs(mixed_lists(alive(differ.where("list is not null")), comps)).join(tried, ["a", "b"], "left_anti"), f"{root}/left")
+        last = stored(verify(left, docs, reps, f"{root}/left-sets"), f"{root}/left-links")
+        edges, comps = joined(edges, last, comps, f"{root}/third")
 
     named = reps.join(comps.withColumnRenamed("node", "class"), "class", "left")
     named = named.select("class", F.coalesce("label", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "class")).alias("label"))
