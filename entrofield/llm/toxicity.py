@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ TELLING = 2.6
 #: Weight of the calibration slope's prior.
 PRIOR = 5.0
 #: Windows scored at once, and words of a worker's memo.
-CHUNK, MEMO = 1024, 60_000
+CHUNK, MEMO = 1536, 60_000
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -118,14 +119,22 @@ def gru_back(dout: np.ndarray, u: np.ndarray, kept: list) -> tuple[np.ndarray, n
     return dpre, du
 
 
+class Numbers(dict):
+    """Words by number, in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Network:
     """Parameters and both passes. p: name -> array."""
 
     def __init__(self, vocabulary: list[str], p: dict[str, np.ndarray], scale: tuple[float, float] = (1.0, 0.0)):
         self.ids = {w: i + 1 for i, w in enumerate(vocabulary)}
         self.vocabulary, self.p, self.scale = vocabulary, p, scale
-        self.memo: dict[str, int] = {}
-        self.rows = np.empty((1024, 6 * HIDDEN), np.float32)
+        self.memo = Numbers()
+        self.rows = np.eye(2 * DIM + 2, dtype=np.float32)[-1:]
 
     def inputs(self, words: list[str]) -> tuple[np.ndarray, tuple]:
         wid = np.array([self.ids.get(w, 0) for w in words])
@@ -159,52 +168,70 @@ class Network:
         return pooled @ p["w"] + p["b"][0]
 
     def slide(self, pre: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """forward() of the windows at all places of at, which holds rows of pre (the padding's last): logits of len(at) - WINDOW + 1 windows.
+        """forward() of the windows at all places of at, which holds rows of pre (the padding's last): logits of len(at) - WINDOW + 1 windows. pre: pre-activations, or
+        entries like those of self.rows, which take a fourth of the room and are projected chunk by chunk.
 
         States are feature-major, and neighbouring windows are neighbouring columns, so that a step of all windows reads one slice. Weights of the gates are halved
-        beforehand, since sigmoid(x) = (1 + tanh(x / 2)) / 2.
+        beforehand, since sigmoid(x) = (1 + tanh(x / 2)) / 2. Of the forward states only what attention reads is kept (their shares of its ATT features and of the
+        pooled product), the backward states add theirs to it. Steps work in place, in buffers that all chunks share: their speed is that of the cache.
         """
         p, n_at = self.p, len(at) - WINDOW + 1
         gate = np.full((3 * HIDDEN, 1), 0.5, np.float32)
         uf, ub = (np.ascontiguousarray(p[u].T) * gate for u in ("uf", "ub"))
         gate[2 * HIDDEN :] = 1.0
-        scale, att, out = np.concatenate([gate, gate]), np.ascontiguousarray(p["att"].T), np.empty(n_at, np.float32)
+        project = np.eye(6 * HIDDEN, dtype=np.float32) if pre.shape[1] == 6 * HIDDEN else np.concatenate([p["wx"].T, p["bx"][:, None], self.pad_row()[:, None]], 1)
+        project, out = project * np.concatenate([gate, gate]), np.empty(n_at, np.float32)
+        read_f, read_b = (np.concatenate([p["att"][i : i + HIDDEN].T, p["w"][None, i : i + HIDDEN]]) for i in (0, HIDDEN))
+        half, one, most = np.float32(0.5), np.float32(1), min(CHUNK, n_at)
+        gathered, x_room = np.empty((most + WINDOW - 1, pre.shape[1]), np.float32), np.empty(6 * HIDDEN * (most + WINDOW - 1), np.float32)
+        heights = (WINDOW * (ATT + 1), WINDOW, ATT + 1, 3 * HIDDEN, HIDDEN)
+        rooms = [np.empty(n * most, np.float32) for n in heights]
         for i in range(0, n_at, CHUNK):
             k = min(CHUNK, n_at - i)
             rows = at[i : i + k + WINDOW - 1]
-            x, real = np.ascontiguousarray(pre[rows].T) * scale, (rows != len(pre) - 1)
-            h, s, q = np.empty((WINDOW, 2 * HIDDEN, k), np.float32), np.empty((WINDOW, k), np.float32), np.empty((WINDOW, k), np.float32)
-            hu, zr, n = np.zeros((3 * HIDDEN, k), np.float32), np.empty((2 * HIDDEN, k), np.float32), np.empty((HIDDEN, k), np.float32)
-            for u, base, order in ((uf, 0, range(WINDOW)), (ub, 1, range(WINDOW - 1, -1, -1))):
-                was = np.zeros((HIDDEN, k), np.float32)
-                hu[:] = 0
+            np.take(pre, rows, axis=0, out=gathered[: len(rows)], mode="clip")
+            x = x_room[: 6 * HIDDEN * len(rows)].reshape(6 * HIDDEN, len(rows))
+            np.dot(project, gathered[: len(rows)].T, x)
+            seen, s, own, g, h = (room[: n * k].reshape(n, k) for room, n in zip(rooms, heights))
+            seen, gates, z, r, n = seen.reshape(WINDOW, ATT + 1, k), g[: 2 * HIDDEN], g[:HIDDEN], g[HIDDEN : 2 * HIDDEN], g[2 * HIDDEN :]
+            for u, read, base, order in ((uf, read_f, 0, range(WINDOW)), (ub, read_b, 3 * HIDDEN, range(WINDOW - 1, -1, -1))):
+                x_gates, x_n = x[base : base + 2 * HIDDEN], x[base + 2 * HIDDEN : base + 3 * HIDDEN]
                 for t in order:
-                    x_t, h_t = x[3 * HIDDEN * base : 3 * HIDDEN * (base + 1), t : t + k], h[t, HIDDEN * base : HIDDEN * (base + 1)]
-                    np.add(x_t[: 2 * HIDDEN], hu[: 2 * HIDDEN], out=zr)
-                    np.tanh(zr, out=zr)
-                    z, r = zr[:HIDDEN], zr[HIDDEN:]
-                    r += 1
-                    r *= hu[2 * HIDDEN :]
-                    r += x_t[2 * HIDDEN :]
-                    np.tanh(r, out=n)
-                    np.subtract(was, n, out=h_t)
-                    h_t *= z
-                    h_t += was
-                    h_t += n
-                    h_t *= 0.5
-                    was = h_t
-                    np.dot(u, h_t, out=hu)
-            for t in range(WINDOW):
-                a = att @ h[t]
-                np.tanh(a, out=a)
-                np.dot(p["v"], a, out=s[t])
-                np.dot(p["w"], h[t], out=q[t])
-                s[t][~real[t : t + k]] = -1e9
+                    if t == order[0]:  # from the state 0: h = (1 - z) * n
+                        np.tanh(x_gates[:HIDDEN, t : t + k], z)
+                        np.tanh(x_n[:, t : t + k], n)
+                        np.multiply(z, n, h)
+                        np.subtract(n, h, h)
+                        np.multiply(h, half, h)
+                    else:
+                        np.dot(u, h, g)
+                        np.add(gates, x_gates[:, t : t + k], gates)
+                        np.tanh(gates, gates)
+                        np.add(gates, one, gates)
+                        np.multiply(n, r, n)
+                        np.add(n, x_n[:, t : t + k], n)
+                        np.tanh(n, n)
+                        np.subtract(h, n, h)
+                        np.multiply(h, z, h)
+                        np.multiply(h, half, h)
+                        np.add(h, n, h)
+                    if not base:
+                        np.dot(read, h, seen[t])
+                    else:
+                        np.dot(read, h, own)
+                        np.add(seen[t], own, seen[t])
+                        a = seen[t, :ATT]
+                        np.tanh(a, a)
+                        np.dot(p["v"], a, s[t])
+            real = rows != len(pre) - 1
+            padded = None if real.all() else ~np.lib.stride_tricks.sliding_window_view(real, k)
+            if padded is not None:
+                s[padded] = -1e9
             s -= s.max(0)
-            np.exp(s, out=s)
-            for t in range(WINDOW):
-                s[t] *= real[t : t + k]
-            out[i : i + k] = (s * q).sum(0) / np.maximum(s.sum(0), 1e-9) + p["b"][0]
+            np.exp(s, s)
+            if padded is not None:
+                s[padded] = 0
+            out[i : i + k] = np.einsum("tk,tk->k", s, seen[:, ATT]) / np.maximum(s.sum(0), 1e-9) + p["b"][0]
         return out
 
     def backward(self, dlogit: np.ndarray, k: dict) -> tuple[dict, np.ndarray]:
@@ -224,31 +251,29 @@ class Network:
 
     # ---- scoring
 
-    def rows_of(self, words: list[str]) -> np.ndarray:
-        """Rows in self.rows of the words' pre-activations; row 0 is the padding's."""
-        if not self.memo or len(self.memo) > MEMO:
-            self.memo, self.rows = {"": 0}, np.empty((1024, 6 * HIDDEN), np.float32)
-            self.rows[0] = self.pad_row()
-        memo = self.memo
-        new = [w for w in dict.fromkeys(words) if w not in memo]
+    def rows_of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Rows in self.rows of the entries of each text's words: their input and 1, 0; the last row is the padding's: 0, ..., 0, 1."""
+        if len(self.memo) > MEMO:
+            self.memo, self.rows = Numbers(), self.rows[-1:].copy()
+        known = len(self.memo)
+        out = [np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words)) for words in map(words_of, texts)]
+        if len(self.memo) >= len(self.rows):
+            rows = np.empty((max(2 * len(self.rows), len(self.memo) + 1), 2 * DIM + 2), np.float32)
+            rows[:known], rows[-1] = self.rows[:known], self.rows[-1]
+            self.rows = rows
+        new = list(islice(self.memo, known, None))
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            base = len(memo)
-            while base + len(part) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-            self.rows[base : base + len(part)] = self.inputs(part)[0] @ self.p["wx"] + self.p["bx"]
-            memo.update(zip(part, range(base, base + len(part))))
-        return np.array([memo[w] for w in words], np.int64)
+            at = self.rows[known + i : known + i + len(part)]
+            at[:, : 2 * DIM], at[:, 2 * DIM :] = self.inputs(part)[0], (1, 0)
+        return out
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """Highest window logit of each text."""
-        words = [words_of(t) for t in texts]
-        word, first, starts = layout([len(w) for w in words])
-        row = np.append(self.rows_of([w for ws in words for w in ws]), 0)[word]  # the last is the padding's
-        used, own = np.unique(np.append(row, 0), return_inverse=True)
-        pre = np.concatenate([self.rows[used[1:]], self.rows[:1]])  # padding last
-        own = own[:-1] - 1
-        return np.maximum.reduceat(windows(self, pre, np.where(own < 0, len(pre) - 1, own), starts), first)
+        rows = self.rows_of(texts)
+        word, first, starts = layout([len(r) for r in rows])
+        pad = np.array([len(self.rows) - 1])  # -1 in word
+        return np.maximum.reduceat(windows(self, self.rows, np.concatenate([*rows, pad])[word], starts), first)
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         a, b = self.scale
@@ -347,7 +372,8 @@ def scatter(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Network | None:
     """Fits the network on three quarters of the documents and calibrates it on the rest. None without documents of both kinds."""
     rng = np.random.default_rng(seed)
-    docs, y = distinct([words_of(t) for t in texts], labels)
+    once: dict[str, str] = {}  # one string per word, not per occurrence
+    docs, y = distinct([[once.setdefault(w, w) for w in words_of(t)] for t in texts], labels)
     if y.sum() < 2 or (1 - y).sum() < 2:
         return None
     calib = np.zeros(len(docs), bool)

@@ -66,3 +66,36 @@ def test_context_between_windows_is_seen(words):
     text = words[:70]
     alone = [net.logits([" ".join(text[k : k + X.WINDOW])])[0] for k in range(70 - X.WINDOW + 1)]
     assert abs(net.logits([" ".join(text)])[0] - max(alone)) < 1e-4
+
+
+def long_texts(words, n):
+    """Texts of many chunks of windows, with documents that are empty, shorter than a window and longer; words that the training hasn't met."""
+    rng = np.random.default_rng(9)
+    pool = words + [f"{a}{b}" for a, b in zip(words, words[1:])]
+    return [" ".join(pool[k] for k in rng.integers(0, len(pool), size)) for size in [n, 0, 1, X.WINDOW - 1, X.WINDOW, X.WINDOW + 1, n // 2]] + [None]
+
+
+def test_all_chunks_equal_the_plain_passes(words):
+    net, _ = X.start([words[:80], words[80:160]], np.array([1, 0]), np.random.default_rng(2))
+    texts = long_texts(words, 2 * X.CHUNK)
+    for text, got in zip(texts, net.logits(texts)):
+        ws = X.words_of(text)
+        pre = np.concatenate([net.inputs(ws)[0] @ net.p["wx"] + net.p["bx"] if ws else np.empty((0, 6 * X.HIDDEN)), net.pad_row()[None]]).astype(np.float32)
+        at = np.array([[min(i + k, len(ws)) for k in range(X.WINDOW)] for i in range(max(1, len(ws) - X.WINDOW + 1))])
+        assert abs(net.forward(pre, at).max() - got) < 1e-4
+
+
+def test_scoring_works_in_the_cache(words):
+    """What one chunk takes: states that are kept for every place, and one table of pre-activations more per slice, made scoring slow and workers large."""
+    import tracemalloc
+
+    net, _ = X.start([words[:80], words[80:160]], np.array([1, 0]), np.random.default_rng(2))
+    net.logits(long_texts(words, 100))
+    rows = net.rows_of(long_texts(words, 20 * X.CHUNK))[0]
+    tracemalloc.start()
+    net.slide(net.rows, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    floats_a_window = peak / 4 / X.CHUNK
+    assert floats_a_window < 2 * X.HIDDEN * X.WINDOW  # so many the states of all places take
+    assert net.rows.nbytes <= 2 * 4 * (len(net.memo) + 1) * (2 * X.DIM + 2)
