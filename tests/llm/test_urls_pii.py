@@ -87,8 +87,8 @@ def test_scores_equal_brute_force(judged):
         assert r.score == pytest.approx(score(symbols(u)), abs=1e-4)
 
 
-def test_evidence_bounds_the_model(spark, monkeypatch):
-    """Long contexts are kept where they are frequent; with room for few contexts, more evidence is asked for, and scores follow the definition all the same."""
+def test_all_contexts_are_kept(spark, monkeypatch):
+    """Long contexts are kept where they are frequent; with room for few contexts in a broadcast, the others are joined, and scores follow the definition of the whole model all the same."""
     urls = [f"http://{'cheap' if i % 2 else 'news'}{i % 3}.{'net' if i % 2 else 'org'}/{'en' if i % 2 else 'fr'}/{i % 10}" for i in range(60)]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     for most in (50_000, 60):
@@ -96,11 +96,23 @@ def test_evidence_bounds_the_model(spark, monkeypatch):
         labelled = df.select("url", F.col("url").contains(".org/fr/").alias("allow"))
         least = U.evidence(U.context_counts(labelled))
         assert (least == U.LEAST) == (most == 50_000)
-        score = brute_ratio([symbols(u) for u in urls if ".org/fr/" in u], [symbols(u) for u in urls if ".org/fr/" not in u], least)
+        score = brute_ratio([symbols(u) for u in urls if ".org/fr/" in u], [symbols(u) for u in urls if ".org/fr/" not in u], U.LEAST)
         for r in U.judge(df).collect():
             assert r.score == pytest.approx(score(symbols(urls[r.page_id])), abs=1e-4)
 
 
+def test_rest_of_the_tree_counts_for_every_row(spark, monkeypatch):
+    """Whatever part of the tree is broadcast, all rows (copies, null and odd urls, null and repeated keys) get equal results."""
+    urls = [*URLS, *[f"http://{'cheap' if i % 2 else 'news'}{i % 3}.{'net' if i % 2 else 'org'}/{'en' if i % 2 else 'fr'}/{i % 10}" for i in range(60)], *[f"http://same.example.com/xx/{i % 4}" for i in range(40)]]
+    df = spark.createDataFrame([(i % 90 if i % 7 else None, u) for i, u in enumerate(urls * 2)], "page_id long, url string").repartition(5)
+    key = lambda r: str(tuple(r))
+    whole = sorted(U.judge(df).collect(), key=key)
+    assert len(whole) == 2 * len(urls)
+    for most in (1, 60):
+        monkeypatch.setattr(U, "CONTEXTS", most)
+        assert sorted(U.judge(df).collect(), key=key) == whole
+
+
 def test_null_urls_only_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, 1, 2, 3), (None, None, 1, 2, 3), (2, "", 1, 2, 3)], "page_id long, url string, id int, `row` int, length int")
     rows = U.judge(df).collect()
