@@ -47,6 +47,8 @@ TELLING = 2.6
 PRIOR = 5.0
 #: Windows scored at once, and words of a worker's memo.
 CHUNK, MEMO = 1536, 60_000
+#: Most rows, and bytes unless one row has more, that are scored at once: the arrays of a slice take some 50 bytes a word.
+ROWS, SLICE = 128, 1 << 19
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -472,7 +474,7 @@ def _scores(texts: list[str | None], packed: bytes | None) -> np.ndarray:
 
 
 def _score(batches: Iterator[pa.RecordBatch], packed: bytes | None) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, 128):
+    for b in slices(batches, ROWS, SLICE):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b.column(1).to_pylist(), packed), pa.float64())], names=["doc_id", "score"])
 
 
@@ -485,7 +487,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def _reject(batches: Iterator[pa.RecordBatch], at: int, packed: bytes | None, limit: float) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, 128):
+    for b in slices(batches, ROWS, SLICE):
         yield b.filter(pa.array(_scores(b.column(at).to_pylist(), packed) < limit))
 
 

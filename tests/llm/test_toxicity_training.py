@@ -99,3 +99,23 @@ def test_scoring_works_in_the_cache(words):
     floats_a_window = peak / 4 / X.CHUNK
     assert floats_a_window < 2 * X.HIDDEN * X.WINDOW  # so many the states of all places take
     assert net.rows.nbytes <= 2 * 4 * (len(net.memo) + 1) * (2 * X.DIM + 2)
+
+
+def test_worker_of_long_texts_stays_small(words):
+    """The pipeline's first stage has to leave room for the executor's JVM: what scoring takes depends neither on the batch nor on the length of its texts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    net, _ = X.start([words[:80], words[80:160]], np.array([1, 0]), np.random.default_rng(2))
+    rng = np.random.default_rng(7)
+    texts = [" ".join(words[k] for k in rng.integers(0, len(words), 4000)) for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    packed = X._packed(net)
+    X._memo(packed)
+    tracemalloc.start()
+    got = [n for b in X._reject([batch], 0, packed, 2.0) for n in b.column(0).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == texts
+    assert peak - sum(map(len, texts)) < 12 << 20
