@@ -301,7 +301,9 @@ def distinct(docs: list[list[str]], y: list[int]) -> tuple[list[list[str]], np.n
     by_rare: dict[tuple, list[int]] = {}
     at = []
     for i, s in enumerate(sets):
-        rarest = s[np.lexsort((s, df[np.searchsorted(kinds, s)]))][: len(s) - math.ceil(COPY * len(s)) + 1].tolist() or [-1]
+        n = df[np.searchsorted(kinds, s)]
+        first = np.lexsort((s, n))[: len(s) - math.ceil(COPY * len(s)) + 1]
+        rarest = s[first][n[first] > 1].tolist() if len(s) else [-1]  # nobody is met by what one document has
         met = {j for r in rarest for j in by_rare.get((r, y[i]), ())}
         if any(_copies(s, sets[j]) for j in met):
             continue

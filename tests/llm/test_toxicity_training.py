@@ -119,3 +119,17 @@ def test_worker_of_long_texts_stays_small(words):
     tracemalloc.stop()
     assert got == texts
     assert peak - sum(map(len, texts)) < 12 << 20
+
+
+def test_shingles_of_one_document_take_no_room():
+    """The driver keeps only what documents can meet by."""
+    import tracemalloc
+
+    docs = [[f"w{i}x{k}" for k in range(1000)] for i in range(100)]
+    docs += [docs[0], [*docs[1][:500], "changed", *docs[1][501:]]]
+    tracemalloc.start()
+    got, _ = X.distinct(docs, [0] * len(docs))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == docs[:100]
+    assert peak < 7 << 20  # 102,000 shingles of 8 bytes, few times over
