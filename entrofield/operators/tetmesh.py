@@ -2,6 +2,8 @@
 
 vertices: vid, x, y, z, f. cells: cid, v (array of 4 vertex ids). The distribution of a linear field over a tetrahedron is a quadratic B-spline whose knots are the four vertex
 values; its three quadratics are integrated over each bin in closed form. Weighted by volume it tells how much of the cell lies in the bin; by area (of isosurfaces) that times the gradient.
+
+Spark takes an exploded table for as small as what it is made from. Joins with one are therefore told to merge: else it would be broadcast, and pass the driver, for meshes of any size.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ FACES = ((1, 2, 3), (0, 2, 3), (0, 1, 3), (0, 1, 2))
 
 def with_corners(vertices: DataFrame, cells: DataFrame) -> DataFrame:
     """cid and corners: array of 4 structs (x, y, z, f) in the order of v."""
-    each = cells.select("cid", F.posexplode("v").alias("i", "vid")).join(vertices, "vid")
+    each = cells.select("cid", F.posexplode("v").alias("i", "vid")).join(vertices.hint("merge"), "vid")
     return each.groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x", "y", "z", "f"))), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), c["z"].alias("z"), c["f"].alias("f"))).alias("corners"))
 
 
