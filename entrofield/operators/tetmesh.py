@@ -36,8 +36,9 @@ def vertex_cells(cells: DataFrame) -> DataFrame:
 def face_neighbours(cells: DataFrame) -> DataFrame:
     """cid, face, other: cells that share a face (its three vertex ids, sorted). A face has at most two cells, so groups are pairs."""
     faces = cells.select("cid", F.posexplode(F.array(*[F.array_sort(F.array(*[F.col("v")[i] for i in f])) for f in FACES])).alias("face", "key"))
-    a, b = faces.alias("a"), faces.alias("b")
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") != F.col("b.cid"))).select(F.col("a.cid").alias("cid"), F.col("a.face").alias("face"), F.col("b.cid").alias("other"))
+    keyed = faces.select("cid", "face", *[F.col("key")[i].alias(f"k{i}") for i in range(3)])
+    each = keyed.groupBy("k0", "k1", "k2").agg(F.collect_list(F.struct("cid", "face")).alias("all")).where(F.size("all") > 1).select(F.explode("all").alias("a"), "all")
+    return each.select("a", F.explode("all").alias("b")).where("a.cid <> b.cid").select("a.cid", "a.face", F.col("b.cid").alias("other"))
 
 
 def intersects(v: str = "v", b: str = "b") -> Column:

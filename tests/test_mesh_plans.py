@@ -10,6 +10,15 @@ def broadcast(df):
     return [line.strip() for line in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "BroadcastHashJoin" in line]
 
 
-@pytest.mark.parametrize("name", ["t1_bounding_boxes"])
+@pytest.mark.parametrize("name", ["t1_bounding_boxes", "t5_face_neighbours"])
 def test_no_table_is_broadcast(spark, sf, name):
     assert broadcast(registry.QUERIES[name](spark, sf)) == []
+
+
+def test_faces_of_more_and_of_odd_cells(spark):
+    """A face of three cells gives all their pairs; a cell with a vertex twice is no neighbour of its own."""
+    from entrofield.operators import tetmesh
+
+    c = spark.createDataFrame([(0, [0, 1, 2, 3]), (1, [2, 1, 0, 4]), (2, [5, 0, 2, 1]), (3, [7, 7, 8, 9])], "cid long, v array<long>")
+    got = sorted(map(tuple, tetmesh.face_neighbours(c).collect()))
+    assert got == [(0, 3, 1), (0, 3, 2), (1, 3, 0), (1, 3, 2), (2, 0, 0), (2, 0, 1)]
