@@ -58,25 +58,30 @@ def contains(v: str = "v", b: str = "b") -> Column:
 
 
 def box_relation(vertices: DataFrame, boxes: DataFrame, radius: float) -> DataFrame:
-    """vid, cid, contained for the cells whose box meets the box of a radius around a vertex.
+    """vid, cid, contained for the cells whose box meets the box of a radius around a vertex."""
+    return _met(vertices, boxes, radius).select("v.vid", "b.cid", contains().alias("contained"))
+
+
+def _met(vertices: DataFrame, boxes: DataFrame, radius: float) -> DataFrame:
+    """Vertices with their boxes (v) and, with all their columns, the boxes that meet them (b).
 
     Both sides are dealt to cubes of twice the radius; a pair is kept in the cube of its lowest common corner, so it appears once.
     """
     side = 2 * radius
-    box = vertices.select("vid", *[e.alias(n) for c in "xyz" for n, e in ((f"l{c}", F.col(c) - radius), (f"h{c}", F.col(c) + radius))])
+    box = vertices.select("vid", *"xyz", *[e.alias(n) for c in "xyz" for n, e in ((f"l{c}", F.col(c) - radius), (f"h{c}", F.col(c) + radius))])
 
     def dealt(df: DataFrame) -> DataFrame:
         for c in "xyz":
             df = df.withColumn(f"g{c}", F.explode(F.sequence(F.floor(F.col(f"l{c}") / side), F.floor(F.col(f"h{c}") / side))))
         return df
 
-    v, b = dealt(box).alias("v"), dealt(boxes).alias("b")
+    v, b = dealt(box).alias("v"), dealt(boxes).hint("merge").alias("b")
     on = [F.col(f"v.g{c}") == F.col(f"b.g{c}") for c in "xyz"]
     first = [F.col(f"v.g{c}") == F.floor(F.greatest(f"v.l{c}", f"b.l{c}") / side) for c in "xyz"]
     cond = intersects()
     for e in (*on, *first):
         cond &= e
-    return v.join(b, cond).select("v.vid", "b.cid", contains().alias("contained"))
+    return v.join(b, cond)
 
 
 # ---------------------------------------------------------------- the spline
