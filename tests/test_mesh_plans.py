@@ -10,7 +10,7 @@ def broadcast(df):
     return [line.strip() for line in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "BroadcastHashJoin" in line]
 
 
-@pytest.mark.parametrize("name", ["t1_bounding_boxes", "t4_box_relation", "t5_face_neighbours", "t7_cross_sections", "e11_mesh_entropy_area", "t8_t9_volume_histogram_total", "e11_mesh_entropy_volume", "t6_sorted_values"])
+@pytest.mark.parametrize("name", ["t1_bounding_boxes", "t4_box_relation", "t5_face_neighbours", "t7_cross_sections", "t8_t9_volume_histogram_total", "e11_mesh_entropy_volume", "e11_mesh_entropy_area", "e12_mesh_local_entropy", "t6_sorted_values"])
 def test_no_table_is_broadcast(spark, sf, name):
     assert broadcast(registry.QUERIES[name](spark, sf)) == []
 
