@@ -12,18 +12,34 @@ from .common import CELLS, event_grid, query, rounded, sql_bin, sql_entropy
 from .fields import _BLOCK, sql_local, sql_patches
 
 
+class Files(dict):
+    """Paths of files by name; a file is written when it is asked for."""
+
+    def __init__(self, write):
+        self.write = write
+
+    def __missing__(self, name: str) -> str:
+        self[name] = self.write(name)
+        return self[name]
+
+
 def files(spark, d) -> dict[str, str]:
-    """Two scalar rasters and two vector rasters over the grid of events."""
+    """Two scalar rasters (a.vol, b.vol) and two vector rasters (u.vec, v.vec) over the grid of events."""
     df, g = event_grid(spark, d)
     root = shared_dir(spark, "program")
-    out = {k: f"{root}/{k}" for k in ("a.vol", "b.vol", "u.vec", "v.vec")}
-    write_raster(df.select("cell_id", F.floor("value").alias("value")), out["a.vol"], g.dims)
-    write_raster(df.select("cell_id", (F.col("user_id") % 50).alias("value")), out["b.vol"], g.dims)
-    vec = lambda *c: df.select("cell_id", F.struct(*[e.cast("double").alias(n) for n, e in zip("xyz", c)]).alias("value"))
     x, y, z, v = F.col("x"), F.col("y"), F.col("z"), F.col("value")
-    write_raster(vec(x - 4.5, y - 4.5, F.floor(v) % 11 - 5.25), out["u.vec"], g.dims, components=3)
-    write_raster(vec(F.floor(v) % 7 - 3.25, x - y + 0.5, z % 5 - 2.25), out["v.vec"], g.dims, components=3)
-    return out
+    values = {
+        "a.vol": (F.floor("value"),), "b.vol": (F.col("user_id") % 50,),
+        "u.vec": (x - 4.5, y - 4.5, F.floor(v) % 11 - 5.25), "v.vec": (F.floor(v) % 7 - 3.25, x - y + 0.5, z % 5 - 2.25),
+    }
+
+    def write(name: str) -> str:
+        c = values[name]
+        value = c[0] if len(c) == 1 else F.struct(*[e.cast("double").alias(n) for n, e in zip("xyz", c)])
+        write_raster(df.select("cell_id", value.alias("value")), f"{root}/{name}", g.dims, components=len(c))
+        return f"{root}/{name}"
+
+    return Files(write)
 
 
 _F = "f AS (SELECT x, y, z, cell_id, floor(value) AS a, CAST(user_id % 50 AS DOUBLE) AS b FROM cells), ra AS (SELECT min(a) AS lo, max(a) AS hi FROM f), rb AS (SELECT min(b) AS lo, max(b) AS hi FROM f)"

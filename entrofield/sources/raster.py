@@ -1,6 +1,6 @@
 """Raster files: an optional header of 32-bit dimensions, then values with x fastest; one float per cell, or three.
 
-Reading (format `rasterfield`) plans one task per block of the grid and reads only that block's rows of cells, with ghost layers if wanted. Options: path; header (true), or dims = nx,ny,nz without one; ndim of the
+Reading (format `rasterfield`) plans tasks of about SPAN cells, whole layers of one block of the grid each, and reads only that block's rows of cells, with ghost layers if wanted. Options: path; header (true), or dims = nx,ny,nz without one; ndim of the
 header (3); components (1 or 3); dtype (f4, f8, i4, i8); endian (little, big); blocks = bx,by,bz; split (ceil, floor); ghost = gx,gy,gz.
 Writing deals cells by range and writes sorted slabs on the executors. For one file the driver joins them as streams; with slabs=True they stay: the path is then a folder of slabs with
 an index, written last, which reading takes like a file, and no byte of a cell passes the driver.
@@ -28,6 +28,8 @@ from .files import filesystem
 
 
 INDEX = "index.json"
+#: Cells of a task and of a batch, but a layer of a block at least.
+SPAN, BATCH = 1 << 18, 1 << 15
 
 
 def triple(text: str) -> tuple[int, int, int]:
@@ -47,8 +49,8 @@ def block_bounds(n: int, parts: int, split: str, ghost: int) -> list[tuple[int,
 
 
 class Block(InputPartition):
-    def __init__(self, block_id: int, bounds: tuple):
-        self.block_id, self.bounds = block_id, bounds
+    def __init__(self, block_id: int, bounds: tuple, layers: tuple[int, int]):
+        self.block_id, self.bounds, self.layers = block_id, bounds, layers
 
 
 class Slabs:
@@ -116,26 +118,34 @@ class RasterReader(DataSourceReader):
     def partitions(self) -> list[Block]:
         self.dims = self.shape()
         axes = [block_bounds(n, p, self.split, g) for n, p, g in zip(self.dims, self.blocks, self.ghost)]
-        return [Block(i, (x, y, z)) for i, (z, y, x) in enumerate(itertools.product(axes[2], axes[1], axes[0]))]
+        out = []
+        for i, (z, y, x) in enumerate(itertools.product(axes[2], axes[1], axes[0])):
+            step = max(1, SPAN // ((x[3] - x[2] + 1) * (y[3] - y[2] + 1)))
+            out += [Block(i, (x, y, z), (k, min(z[3], k + step - 1))) for k in range(z[2], z[3] + 1, step)]
+        return out
 
     def read(self, part: Block) -> Iterator[pa.RecordBatch]:
         nx, ny, _ = self.dims or self.shape()
-        (x0, x1, px0, px1), (y0, y1, py0, py1), (z0, z1, pz0, pz1) = part.bounds
+        (x0, x1, px0, px1), (y0, y1, py0, py1), (z0, z1, _, _) = part.bounds
         fs, path = filesystem(self.path)
         item, width = self.dtype.itemsize * self.components, px1 - px0 + 1
         with opened(fs, path) as f:
-            for z in range(pz0, pz1 + 1):  # a slab at a time
-                rows = []
-                if width == nx:  # whole rows lie side by side
-                    rows.append(f.read_at((py1 - py0 + 1) * nx * item, self.start() + (z * ny + py0) * nx * item))
+            low, high = part.layers
+            step = max(1, BATCH // (width * (py1 - py0 + 1)))
+            for k in range(low, high + 1, step):  # some layers at a time
+                zs = np.arange(k, min(high + 1, k + step))
+                if width == nx and py1 - py0 + 1 == ny:  # whole layers lie side by side
+                    rows = [f.read_at(len(zs) * ny * nx * item, self.start() + k * ny * nx * item)]
+                elif width == nx:  # whole rows
+                    rows = [f.read_at((py1 - py0 + 1) * nx * item, self.start() + (int(z) * ny + py0) * nx * item) for z in zs]
                 else:
-                    rows = [f.read_at(width * item, self.start() + ((z * ny + y) * nx + px0) * item) for y in range(py0, py1 + 1)]
+                    rows = [f.read_at(width * item, self.start() + ((int(z) * ny + y) * nx + px0) * item) for z in zs for y in range(py0, py1 + 1)]
                 v = np.frombuffer(b"".join(rows), self.dtype).astype(self.dtype.newbyteorder("=")).reshape(-1, self.components)
-                y, x = [a.ravel() for a in np.meshgrid(np.arange(py0, py1 + 1), np.arange(px0, px1 + 1), indexing="ij")]
-                cell = (z * ny + y.astype(np.int64)) * nx + x
+                z, y, x = [a.ravel() for a in np.meshgrid(zs, np.arange(py0, py1 + 1), np.arange(px0, px1 + 1), indexing="ij")]
+                cell = (z.astype(np.int64) * ny + y) * nx + x
                 ghost = (x < x0) | (x > x1) | (y < y0) | (y > y1) | (z < z0) | (z > z1)
                 value = pa.array(v[:, 0]) if self.components == 1 else pa.StructArray.from_arrays([pa.array(v[:, i].copy()) for i in range(self.components)], names=list("xyzw")[: self.components])
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(np.full(len(x), z, np.int32)), value, pa.array(np.full(len(x), part.block_id, np.int32)), pa.array(ghost)], names=["cell_id", "x", "y", "z", "value", "block_id", "is_ghost"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *[pa.array(a.astype(np.int32)) for a in (x, y, z)], value, pa.array(np.full(len(x), part.block_id, np.int32)), pa.array(ghost)], names=["cell_id", "x", "y", "z", "value", "block_id", "is_ghost"])
 
 
 #: Column types of the supported number formats.
@@ -175,11 +185,12 @@ def _slab(batches: Iterator[pd.DataFrame], root: str, dtype: str, components: in
     yield pd.DataFrame({"first": [first], "n": [n], "name": [name]}).astype({"first": "Int64"})
 
 
-def write_raster(df: DataFrame, path: str, dims: tuple[int, int, int], components: int = 1, dtype: str = "f4", header: bool = True, endian: str = "little", cells_per_slab: int = 4_000_000, slabs: bool = False) -> None:
+def write_raster(df: DataFrame, path: str, dims: tuple[int, int, int], components: int = 1, dtype: str = "f4", header: bool = True, endian: str = "little", cells_per_slab: int = 1 << 19, slabs: bool = False) -> None:
     """Writes cell_id, value of a dense grid as one file, or as a folder of slabs; `value` is a number, or a struct x, y, z. A grid with missing or repeated cells is refused."""
     order, size = (">" if endian == "big" else "<"), math.prod(dims)
     work = path if slabs else f"{path}.slabs-{uuid.uuid4().hex[:8]}"
-    runs = df.select("cell_id", "value").repartitionByRange(max(1, -(-size // cells_per_slab)), "cell_id").sortWithinPartitions("cell_id")
+    # dealt by the cell's number: a range partitioning would evaluate df once more to find its bounds
+    runs = df.select("cell_id", "value").repartitionById(max(1, -(-size // cells_per_slab)), F.floor(F.col("cell_id") / cells_per_slab).cast("int")).sortWithinPartitions("cell_id")
     kind = order + dtype
     rows = runs.mapInPandas(lambda it: _slab(it, work, kind, components), "first long, n long, name string").where("n > 0").collect()
     fs, out_path = filesystem(path)

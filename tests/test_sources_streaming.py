@@ -54,6 +54,25 @@ def test_mesh_text(spark, tmp_path):
     assert [r.f for r in v.orderBy("vid").collect()] == [1.5, 2, 3, 4] and c.first().v == [0, 1, 2, 3]
 
 
+def test_rasters_are_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    """A block of many layers is read by several tasks in batches of several layers, with its ghosts and under its own number."""
+    import math
+
+    dims = (3, 4, 50)
+    df = spark.range(math.prod(dims)).select(F.col("id").alias("cell_id"), (F.col("id") * 2.0).alias("value"))
+    raster.write_raster(df, str(tmp_path / "a.vol"), dims, cells_per_slab=100)
+    monkeypatch.setattr(raster, "SPAN", 100)
+    monkeypatch.setattr(raster, "BATCH", 30)
+    for options in ({}, {"blocks": "2,1,2", "ghost": "0,0,1"}, {"blocks": "1,2,1", "ghost": "1,1,1"}):
+        reader = raster.RasterReader({"path": str(tmp_path / "a.vol")} | options)
+        spans = reader.partitions()
+        rows = [r for p in spans for b in reader.read(p) for r in b.to_pylist()]
+        assert len(spans) >= 5 and sorted(r["cell_id"] for r in rows if not r["is_ghost"]) == list(range(600))
+        assert all(r["value"] == 2 * r["cell_id"] and r["cell_id"] == (r["z"] * 4 + r["y"]) * 3 + r["x"] for r in rows)
+        assert len({(r["block_id"], r["cell_id"]) for r in rows}) == len(rows)
+        assert len(rows) == {0: 600, 2: 600 + 2 * 12, 1: 600 + 2 * 3 * 50}[int(options.get("blocks", "0")[0])]
+
+
 def test_block_files(spark, tmp_path):
     blocks = [((0, 0, 0), (1, 1, 0), [1, 2, 3, 4]), ((2, 0, 0), (2, 1, 0), [5, 6])]
     data, offsets = b"", []
