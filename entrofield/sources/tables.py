@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import io
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,29 +17,78 @@ from .files import filesystem
 # ---------------------------------------------------------------- tetrahedral meshes
 
 
+#: Bytes of a mesh's text that a task reads, and rows of a batch.
+CHUNK, ROWS = 1 << 23, 50_000
+
+
+class Lines(InputPartition):
+    """Bytes of a chunk, its first line and their number, and the wanted lines of the whole text."""
+
+    def __init__(self, start: int, end: int, first: int, n: int, wanted: tuple[int, int]):
+        self.start, self.end, self.first, self.n, self.wanted = start, end, first, n, wanted
+
+
+def lines_begun(f, start: int, end: int) -> int:
+    """Number of lines of an open file that begin at bytes start to end - 1."""
+    n, at = int(start == 0 < end), max(start - 1, 0)
+    while at < end - 1:
+        piece = f.read_at(min(1 << 22, end - 1 - at), at)
+        n, at = n + piece.count(b"\n"), at + len(piece)
+    return n
+
+
 class MeshReader(DataSourceReader):
-    """Text: `vertices cells`, then a line `x y z f` per vertex and a line of four vertex numbers per cell. Read as a stream, a slice of lines at a time."""
+    """Text: `vertices cells`, then a line `x y z f` per vertex and a line of four vertex numbers per cell. A task reads the lines that begin in its chunk of the text; option `lines` has their
+    numbers, chunk by chunk. Without it they are counted where the read is planned, in one pass over the text.
+    """
 
     def __init__(self, options: dict):
-        self.path, self.part = options["path"], options.get("part", "vertices")
+        self.path, self.part, self.lines = options["path"], options.get("part", "vertices"), options.get("lines")
 
-    def read(self, partition) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[Lines]:
         fs, path = filesystem(self.path)
-        with io.TextIOWrapper(fs.open_input_stream(path)) as f:
-            n_v, n_c = map(int, f.readline().split())
-            skip, n = (0, n_v) if self.part == "vertices" else (n_v, n_c)
-            for _ in range(skip):
-                f.readline()
-            done = 0
-            while done < n:
-                lines = [f.readline().split() for _ in range(min(50_000, n - done))]
-                ids = pa.array(np.arange(done, done + len(lines)))
-                done += len(lines)
-                if self.part == "vertices":
-                    v = np.array(lines, np.float64)
-                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(v[:, i].copy()) for i in range(4)]], names=["vid", "x", "y", "z", "f"])
-                else:
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([[int(x) for x in line] for line in lines], pa.list_(pa.int64()))], names=["cid", "v"])
+        with fs.open_input_stream(path) as f:
+            head = b""
+            while b"\n" not in head and (piece := f.read(1 << 10)):
+                head += piece
+        n_v, n_c = map(int, head.split(b"\n")[0].split())
+        with fs.open_input_file(path) as f:
+            size = f.size()
+            spans = [(a, min(size, a + CHUNK)) for a in range(0, size, CHUNK)]
+            counts = list(map(int, self.lines.split(","))) if self.lines else [lines_begun(f, *span) for span in spans]
+        if len(counts) != len(spans) or sum(counts) < 1 + n_v + n_c:
+            raise ValueError(f"{sum(counts)} lines for {n_v} vertices and {n_c} cells")
+        lo, hi = (1, 1 + n_v) if self.part == "vertices" else (1 + n_v, 1 + n_v + n_c)
+        firsts = itertools.accumulate(counts, initial=0)
+        return [Lines(*span, k, n, (lo, hi)) for span, k, n in zip(spans, firsts, counts) if k < hi and k + n > lo] or [Lines(0, 0, 0, 0, (lo, hi))]
+
+    def read(self, part: Lines) -> Iterator[pa.RecordBatch]:
+        if not part.n:
+            return
+        fs, path = filesystem(self.path)
+        with fs.open_input_file(path) as f:
+            at = max(part.start - 1, 0)
+            text, size = f.read_at(part.end - at, at), f.size()
+            end = part.end
+            while not text.endswith(b"\n") and end < size:  # the rest of the last line
+                more = f.read_at(min(1 << 12, size - end), end)
+                cut = more.find(b"\n") + 1 or len(more)
+                text, end = text + more[:cut], end + cut
+        if part.start:
+            text = text[text.index(b"\n") + 1 :]
+        begins = np.r_[0, np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1, len(text)]
+        lo, hi = part.wanted
+        for k in range(max(lo, part.first), min(hi, part.first + part.n), ROWS):
+            last = min(hi, part.first + part.n, k + ROWS)
+            some = text[begins[k - part.first] : begins[last - part.first]]
+            v = np.array(some.split(), np.float64) if self.part == "vertices" else np.fromstring(some, np.int64, sep=" ")
+            if len(v) != 4 * (last - k):
+                raise ValueError(f"lines {k} to {last - 1} haven't four numbers each")
+            ids = pa.array(np.arange(k - lo, last - lo))
+            if self.part == "vertices":
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(v[i::4].copy()) for i in range(4)]], names=["vid", "x", "y", "z", "f"])
+            else:
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(0, len(v) + 1, 4, np.int32)), pa.array(v))], names=["cid", "v"])
 
 
 class TetMesh(DataSource):
@@ -55,9 +104,23 @@ class TetMesh(DataSource):
 
 
 def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices and cells."""
+    """Vertices and cells. Executors count the lines of each chunk first, so that every chunk can be read by itself."""
     spark.dataSource.register(TetMesh)
-    return tuple(spark.read.format("tetmesh").options(path=path, part=p).load() for p in ("vertices", "cells"))
+    fs, p = filesystem(path)
+    size, chunk = fs.get_file_info(p).size, CHUNK
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, p = filesystem(path)
+        with fs.open_input_file(p) as f:
+            for batch in batches:
+                k = batch["id"].to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([lines_begun(f, i * chunk, min(size, (i + 1) * chunk)) for i in k], pa.int64())], names=["k", "n"])
+
+    options, n = {"path": path}, -(-size // chunk)
+    if n > 1:
+        rows = spark.range(0, n, 1, min(n, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(count, "k long, n long").collect()
+        options["lines"] = ",".join(str(r["n"]) for r in sorted(rows))
+    return tuple(spark.read.format("tetmesh").options(part=part, **options).load() for part in ("vertices", "cells"))
 
 
 def write_mesh(vertices: DataFrame, cells: DataFrame, path: str) -> None:
@@ -73,7 +136,7 @@ def write_mesh(vertices: DataFrame, cells: DataFrame, path: str) -> None:
             _, folder = filesystem(part)
             for f in sorted((f for f in fs.get_file_info(pafs.FileSelector(folder)) if f.base_name.startswith("part-")), key=lambda f: f.base_name):
                 with fs.open_input_stream(f.path) as read:
-                    while piece := read.read(1 << 20):
+                    while piece := read.read(1 << 24):
                         out.write(piece)
             fs.delete_dir(folder)
 

@@ -54,6 +54,29 @@ def test_mesh_text(spark, tmp_path):
     assert [r.f for r in v.orderBy("vid").collect()] == [1.5, 2, 3, 4] and c.first().v == [0, 1, 2, 3]
 
 
+def test_mesh_text_in_chunks(spark, tmp_path, monkeypatch):
+    """Lines that cross chunks, lines as long as several, chunks without a line's beginning, and no newline at the end: each vertex and cell once, by several tasks."""
+    f = [1 / 3, float("inf"), -2.5e-300, 4.0, 5.0]
+    text = "5 3\n" + "".join(f"{i} 0 {'0' * (40 * (i % 2))}1.25 {v!r}\n" for i, v in enumerate(f)) + "0 1 2 3\r\n1 2  3 4\n4 0 1 2"
+    (tmp_path / "m.txt").write_bytes(text.encode())
+    for chunk in (1, 2, 7, 16, 33, 64, len(text) - 1):
+        monkeypatch.setattr(tables, "CHUNK", chunk)
+        for counted in (True, False):
+            for part in ("vertices", "cells"):
+                lines = {"lines": ",".join(str(tables.lines_begun(tables.pa.BufferReader(text.encode()), k, min(len(text), k + chunk))) for k in range(0, len(text), chunk))} if counted else {}
+                reader = tables.MeshReader({"path": str(tmp_path / "m.txt"), "part": part} | lines)
+                spans = reader.partitions()
+                rows = [r for p in spans for b in reader.read(p) for r in b.to_pylist()]
+                assert len(spans) > 1 or chunk > 16
+                if part == "vertices":
+                    assert [(r["vid"], r["x"], r["z"], r["f"]) for r in rows] == [(i, float(i), 1.25, v) for i, v in enumerate(f)]
+                else:
+                    assert [(r["cid"], r["v"]) for r in rows] == [(0, [0, 1, 2, 3]), (1, [1, 2, 3, 4]), (2, [4, 0, 1, 2])]
+    (tmp_path / "n.txt").write_text("5 4\n" + text.split("\n", 1)[1])
+    with pytest.raises(ValueError):
+        tables.MeshReader({"path": str(tmp_path / "n.txt")}).partitions()
+
+
 def test_rasters_are_read_by_several_tasks(spark, tmp_path, monkeypatch):
     """A block of many layers is read by several tasks in batches of several layers, with its ghosts and under its own number."""
     import math
