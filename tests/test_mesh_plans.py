@@ -58,3 +58,9 @@ def test_undefined_values_are_dropped(spark):
     c = spark.createDataFrame([(0, [0, 1, 2, 3]), (1, [1, 2, 3, 4]), (2, [1, 2, 3, 5])], "cid long, v array<long>")
     h = {r.bin: r.n for r in tetmesh.global_histogram(v, c, 4, "volume").collect()}
     assert sorted(h) == [0, 1, 2, 3] and sum(h.values()) == pytest.approx(1 / 6)
+
+
+def test_corners_are_gathered_once(spark, sf):
+    """The mesh program's histogram doesn't join the corners a second time for their range."""
+    plan = registry.QUERIES["m11_mesh_program"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1
